@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,3 +26,18 @@ def two(df: DataFrame, key: str, text: str) -> DataFrame:
 def count_of(text: Column, piece: str) -> Column:
     """How often the piece, not overlapping itself, is in the text."""
     return F.floor((F.length(text) - F.length(F.replace(text, F.lit(piece), F.lit("")))) / len(piece))
+
+
+def once(name: str, make: Callable[[], object]) -> object:
+    """What make() returns, made once in a Python worker: functions travel by value, so a module's own variables don't outlast a task."""
+    kept = sys.modules.setdefault("kinfold_kept", types.ModuleType("kinfold_kept")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
+def byte_of_letter() -> dict[str, int]:
+    """The byte for which each letter of a byte-level vocabulary stands: printable Latin-1 for itself, the rest counted on from 256."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}

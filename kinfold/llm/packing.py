@@ -15,6 +15,8 @@ ids are packed row by row. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,58 +27,71 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from kinfold.llm._tables import two
+from kinfold.llm._tables import byte_of_letter, once, two
 from kinfold.runtime import written_table
 
 WINDOW, END = 2048, 1
-#: Words whose ids a worker keeps.
-CACHE = 400_000
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]])
 STEPS = T.StructType([T.StructField(c, T.LongType()) for c in ("length", "first_rank", "end_rank", "width", "first_sequence", "first_offset")])
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, by a tokenizer that never joins words across ASCII white space.
-
-    Holds for tokenizers that lower-case, drop white space and split before they
-    merge. Words are encoded once while the worker remembers them. A text that
-    could hold the string of a special token goes to the tokenizer as a whole.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, as the tokenizer in a file gives them.
+
+    A byte-pair merge with word ends is the merge over bytes with a mark byte after
+    each word, if the mark joins a word's last byte first. So a file of that kind is
+    turned into ranks for the faster merge of tiktoken; its splitting pattern, spelled
+    out for the letters of PLAIN texts, marks the words. A text with any other
+    character, or one that could hold a special token's string, goes to the tokenizer
+    itself, and so does everything if the file is of another kind.
     """
 
-    _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+    MARK = "\x01"
+    #: Characters of which it is known how the tokenizer normalises and splits them: ASCII, Latin letters, common marks.
+    PLAIN = re.compile("[\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u2013\u2014\u2018\u2019\u201c\u201d\u2026]*")
+    LETTERS = "a-z\u00df-\u00f6\u00f8-\u017f"
+    WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
+    #: The splitting pattern that WORDS spells out, a fixed value.
+    KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = sorted({t.content[:2].encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) > CACHE:
-            self.known = {}
-        stems = {w[:-1] if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122 else w for w in words}
-        new = [w for w in stems | {b".", b","} if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        for w in words:
-            if w not in self.known:
-                self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
+        self.special = sorted({t["content"] for t in spec["added_tokens"]})
+        self.fast = self._fast(spec)
+
+    def _fast(self, spec: dict):
+        import tiktoken
+
+        model, steps = spec["model"], (spec["normalizer"] or {}).get("normalizers", [])
+        split = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or model.get("end_of_word_suffix") != "</w>" or split.get("pattern") != {"Regex": self.KNOWN} or model.get("unk_token") or model.get("dropout"):
+            return None
+        as_byte = byte_of_letter()
+        ranks = {}
+        for token, i in model["vocab"].items():
+            if token not in self.special:
+                word = token.removesuffix("</w>")
+                ranks[bytes(as_byte[c] for c in word) + (self.MARK.encode() if word != token else b"")] = i
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if any(bytes([b]) not in ranks for b in range(256)) or merged != sorted(merged):  # ranks must be in the order of merges
+            return None
+        return tiktoken.Encoding("words", pat_str=f"[^{self.MARK}]*{self.MARK}", mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = []
+        out = []
         for text in texts:
-            data = text.encode()
-            split.append(None if any(s in data for s in self.special) else data.translate(self._LOWER).split())
-        new = {w for words in split if words for w in words if w not in self.known}
-        if new:
-            self._learn(list(new))
-            if any(w not in self.known for words in split if words for w in words):  # the cache was emptied meanwhile
-                self._learn(list({w for words in split if words for w in words if w not in self.known}))
-        get = self.known.__getitem__
-        return [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(get, words)) for text, words in zip(texts, split, strict=True)]
+            if self.fast and self.PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+                words = self.WORDS.findall(text.lower())
+                out.append(self.fast.encode_to_numpy(self.MARK.join([*words, ""])).astype("<u4").tobytes() if words else b"")
+            else:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -85,7 +100,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer)
+        encode = once(f"words {tokenizer}", lambda: WordEncoder(tokenizer))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
