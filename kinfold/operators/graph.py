@@ -33,9 +33,10 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     takes no part; a self link alone yields its node as its own component. No
     edges: no rows.
     """
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
+    # cut first: the nodes and the first stars both read it, and the edges may be dear
+    pairs = cut_lineage(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null").distinct())
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    star = cut_lineage(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    star = pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     mark = None
     for _ in range(max_rounds):
         row = star.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
