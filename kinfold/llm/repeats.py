@@ -25,15 +25,15 @@ allowed. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._tables import two
 from kinfold.runtime import written_table
 
 SPAN, GRAM = 400, 96
@@ -296,11 +296,11 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, k, text, ranges -> doc_id, n_bytes, n_removed, n_spans, kept."""
+    """carried, text, ranges -> carried, n_bytes, n_removed, n_spans, kept."""
     for batch in batches:
-        offsets, data = _bytes_of(batch.column(2))
+        offsets, data = _bytes_of(batch.column(1))
         out: list[tuple] = []
-        for row, (doc, ranges) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+        for row, ranges in enumerate(batch.column(2).to_pylist()):
             text = data[offsets[row] : offsets[row + 1]].tobytes()
             spans: list[list[int]] = []
             for x in sorted((max(0, x["a"]), min(len(text), x["b"])) for x in ranges or ()):
@@ -308,16 +308,26 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     spans[-1][1] = max(spans[-1][1], x[1])
                 else:
                     spans.append([*x])
-            cuts = [0, *[x for s in spans for x in s], len(text)]
-            kept = b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
-            out.append((doc, len(text), len(text) - len(kept), len(spans), kept))
+            edges = [0, *[x for s in spans for x in s], len(text)]
+            kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            out.append((len(text), len(text) - len(kept), len(spans), kept))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.binary()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), (*[pa.int64()] * 3, pa.binary()), strict=True)]], names=["carried", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) for every row."""
-    rows = two(docs, key, text).select("doc_id", F.xxhash64("text").alias("k"), "text")
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) for every row; carried: a struct of the columns to carry."""
+    carried = F.struct(*[F.col(c) for c in carry] or [F.lit(None).cast("int").alias("none")])
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("k"), F.col(text).cast("string").alias("text"), *([carried.alias("carried")] if carry else []))
     extent = F.when(F.col("whole"), F.array(F.struct((F.col("pos") - (SPAN - GRAM)).alias("a"), (F.col("pos") + SPAN).alias("b")))).otherwise(F.transform("found", lambda x: F.struct((F.col("pos") - x["l"]).alias("a"), (F.col("pos") + x["r"]).alias("b"))))
-    ranges = occurrences(rows).select(F.col("doc_id").alias("r_id"), F.col("k").alias("r_k"), extent.alias("ranges")).groupBy("r_id", "r_k").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    return rows.join(ranges, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("k") == F.col("r_k")), "left").select("doc_id", "k", "text", "ranges").mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    ranges = occurrences(rows.select("doc_id", "k", "text")).select(F.col("doc_id").alias("r_id"), F.col("k").alias("r_k"), extent.alias("ranges")).groupBy("r_id", "r_k").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    joined = rows.join(ranges, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("k") == F.col("r_k")), "left").select(F.struct("doc_id", *(["carried"] if carry else [])).alias("carried"), "text", "ranges")
+    kind = joined.schema["carried"].dataType.simpleString()
+    kept = joined.mapInArrow(_keep, f"carried {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return kept.select("carried.doc_id", "n_bytes", "n_removed", "n_spans", "kept", *([F.col("carried.carried").alias("carried")] if carry else []))
+
+
+@F.pandas_udf("string")
+def as_text(kept: pd.Series) -> pd.Series:
+    """What is left as text: a code point that was cut apart goes."""
+    return pd.Series([None if x is None else bytes(x).decode("utf-8", "ignore") for x in kept])

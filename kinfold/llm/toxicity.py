@@ -25,11 +25,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm._tables import two
@@ -219,17 +220,28 @@ def fit(docs: DataFrame, labels: DataFrame, model: list[float], label: str = "to
     return weights, slope, offset
 
 
-def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs."""
+def scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS) -> Callable[[Column], Column]:
+    """A vectorised function from a text column to scores: character model from all rows of docs, classifier from their labels."""
     read = two(docs, key, text)
     model = character_model(read)
     weights, slope, offset = fit(read, labels, model, label, train_rows)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
         reader = Reader(model)
-        for batch in batches:
-            sums = np.array([sum(weights[f] for f in sorted(reader.features(x or "") & weights.keys())) for x in batch.column(1).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(slope * np.log1p(sums) + offset, -50, 50))))], names=["doc_id", "score"])
+        sums = np.array([sum(weights[f] for f in sorted(reader.features(x or "") & weights.keys())) for x in texts], float)
+        return pd.Series(1 / (1 + np.exp(-np.clip(slope * np.log1p(sums) + offset, -50, 50))))
+
+    return scored
+
 
+def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs."""
+    scored = scorer(docs, labels, key, text, label, train_rows)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
-    return read.mapInArrow(scored, "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return two(docs, key, text).select("doc_id", held.alias("held_out"), scored("text").alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs, with all their columns, that aren't predicted toxic."""
+    return docs.filter(scorer(docs, labels, key, text, label, train_rows)(F.col(text)) < 0.5)
