@@ -60,8 +60,8 @@ def fingerprint(text: str) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([fingerprint(x or "") for x in batch.column(1).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        found = np.array([fingerprint(x or "") for x in batch.column(2).to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "k", "fp"])
 
 
 def _differ(a: np.ndarray, b, mask: int) -> np.ndarray:
@@ -91,7 +91,11 @@ class Router:
         self._split(sample[far > bound], 2 * node + 2, levels - 1)
 
     def route(self, fps: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(shard, rows that query it, which of these are stored there)."""
+        """(shard, rows that are stored there or query it, which of these are stored).
+
+        Of two stored rows that a boundary parts, the one inside queries the outside;
+        a row that only queries goes wherever the triangle inequality lets it.
+        """
         work = [(0, np.arange(len(fps)), np.ones(len(fps), bool))]
         while work:
             node, rows, stored = work.pop()
@@ -102,8 +106,9 @@ class Router:
                 continue
             vantage, bound = self.nodes[node]
             far = _differ(fps[rows], np.uint64(vantage), self.mask)
-            for child, own, near in ((2 * node + 1, far <= bound, far <= bound + 1), (2 * node + 2, far > bound, far > bound - 1)):
-                work.append((child, rows[near], (stored & own)[near]))
+            inside = far <= bound
+            for child, near in ((2 * node + 1, inside | ~stored & (far == bound + 1)), (2 * node + 2, ~inside | (far == bound))):
+                work.append((child, rows[near], (stored & (inside if child % 2 else ~inside))[near]))
 
 
 class Forest:
@@ -127,22 +132,21 @@ class Forest:
 
 
 def _leaf(stored: np.ndarray, asking: np.ndarray, forest: Forest, radius: int) -> None:
-    """Links between stored and asking fingerprints; after it, all those within the radius of each other are in one class."""
-    if len(stored) * len(asking) <= 4 * LEAF:
-        a, b = np.nonzero(np.bitwise_count(stored[:, None] ^ asking[None, :]) <= radius)
-        a, b = stored[a], asking[b]
-        own = a != b
-        if own.sum() <= 8 * (len(stored) + len(asking)):
-            for x, y in zip(a[own].tolist(), b[own].tolist(), strict=True):
+    """Links among the stored and between them and the asking fingerprints; after it, those within the radius of each other are in one class."""
+    every = np.concatenate([stored, asking])
+    if len(stored) * len(every) <= 4 * LEAF:
+        a, b = np.nonzero(np.triu(np.bitwise_count(stored[:, None] ^ every[None, :]) <= radius, 1))
+        if len(a) <= 8 * len(every):
+            for x, y in zip(stored[a].tolist(), every[b].tolist(), strict=True):
                 forest.join(x, y)
             return
     while len(stored):  # a dense leaf: once joined with a class, a fingerprint isn't compared with that class again
         near = np.bitwise_count(stored ^ stored[0]) <= radius
         members, stored = stored[near], stored[~near]
-        close = np.bitwise_count(asking ^ members[0]) <= radius
-        for x in asking[close].tolist():
+        close = np.bitwise_count(every ^ members[0]) <= radius
+        for x in every[close].tolist():
             forest.join(int(members[0]), x)
-        rest = asking[~close]
+        rest = every[~close]
         step = max(1, 4 * LEAF // max(1, len(rest)))
         for at in range(1, len(members), step):
             if not len(rest):
@@ -156,20 +160,21 @@ def _leaf(stored: np.ndarray, asking: np.ndarray, forest: Forest, radius: int) -
 
 
 def search(stored: np.ndarray, asking: np.ndarray, mask: int, forest: Forest, radius: int = RADIUS) -> None:
-    """A shard's own tree: halves by distance to a vantage point until a leaf is small or has no spread."""
+    """A shard's own tree: halves by distance to a vantage point until a leaf is small or has no spread. `asking` only query."""
     work = [(stored, asking)]
     while work:
         stored, asking = work.pop()
-        if not len(stored) or not len(asking):
+        if not len(stored):
             continue
-        if len(stored) * len(asking) > LEAF and len(stored) > 32:
+        if len(stored) * (len(stored) + len(asking)) > LEAF and len(stored) > 32:
             vantage = stored[len(stored) // 2]
             far, off = _differ(stored, vantage, mask), _differ(asking, vantage, mask)
             bound = int(np.median(far))
             if bound >= far.max():
                 bound = int(far.max()) - 1
             if bound >= 0:
-                work += [(stored[far <= bound], asking[off <= bound + 1]), (stored[far > bound], asking[off > bound - 1])]
+                work.append((stored[far <= bound], asking[off <= bound + 1]))
+                work.append((stored[far > bound], np.concatenate([asking[off >= bound], stored[far == bound]])))
                 continue
         _leaf(stored, asking, forest, radius)
 
@@ -179,7 +184,7 @@ def _in_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def solve(shard: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         fps, own = np.concatenate([p for p, _ in parts]), np.concatenate([s for _, s in parts])
         forest = Forest()
-        search(fps[own], fps, BLOCKS[shard % len(BLOCKS)], forest)
+        search(fps[own], fps[~own], BLOCKS[shard % len(BLOCKS)], forest)
         links = np.array(forest.links, np.uint64).reshape(-1, 2)
         for at in range(0, len(links), 50_000):
             part = links[at : at + 50_000].view(np.int64)
@@ -221,12 +226,26 @@ def links(unique: DataFrame, count: int) -> DataFrame:
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_in_shards, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for every row."""
-    found = written_table(two(docs, key, text).mapInArrow(_fingerprints, "doc_id long, fp long"))
-    unique = written_table(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k, fp) of every row, k a hash of the text; (fp, first) of every fingerprint: its class's first row as struct(no_id, doc_id, k)."""
+    rows = two(docs, key, text).select("doc_id", F.xxhash64("text").alias("k"), "text")
+    found = written_table(rows.mapInArrow(_fingerprints, "doc_id long, k long, fp long"))
+    unique = written_table(found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("least")))
     classes = connected_components(links(unique, unique.count()), "a", "b").withColumnRenamed("node", "fp")
     named = unique.join(classes, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "component").select("fp", "component_id")
-    return found.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    first = named.groupBy("component").agg(F.min("least").alias("first"))
+    return found, named.join(first, "component").select("fp", "first")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for every row."""
+    found, classes = _classes(docs, key, text)
+    return found.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs, with all its columns, for each class: that with the smallest id (null ids last, then by a hash of the text)."""
+    _, classes = _classes(docs, key, text)
+    first = classes.select(F.col("first.doc_id").alias("_id"), F.col("first.k").alias("_k")).distinct()
+    marked = docs.withColumn("_key", F.col(key).cast("long")).withColumn("_text", F.xxhash64(F.col(text).cast("string")))
+    return marked.join(first, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_k")), "left_semi").dropDuplicates(["_key", "_text"]).drop("_key", "_text")
