@@ -43,12 +43,12 @@ def hamming_within(table: DataFrame, item: str, bits: str, radius: int, block: i
     """As hamming_pairs, for radii at which bands no longer tell pairs apart: blocks of values against blocks."""
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        x, y = left["v"].to_numpy().view(np.uint64), right["v"].to_numpy().view(np.uint64)
+        x, y = left["v"].to_numpy().view(np.uint64), right["v_"].to_numpy().view(np.uint64)
         out = []
         for at in range(0, len(x), 512):
             far = np.bitwise_count(x[at : at + 512, None] ^ y[None, :])
             a, b = np.nonzero(far <= radius)
-            out.append(pd.DataFrame({"item_a": left["i"].to_numpy()[at + a], "item_b": right["i"].to_numpy()[b], "distance": far[a, b].astype("int32")}))
+            out.append(pd.DataFrame({"item_a": left["i"].to_numpy()[at + a], "item_b": right["i_"].to_numpy()[b], "distance": far[a, b].astype("int32")}))
         found = pd.concat(out) if out else pd.DataFrame({"item_a": [], "item_b": [], "distance": []}).astype("int64")
         return found[found["item_a"] < found["item_b"]]
 
@@ -57,11 +57,11 @@ def hamming_within(table: DataFrame, item: str, bits: str, radius: int, block: i
 
 
 def _in_blocks(table: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """The table twice, each row once for every pair (p, q) of blocks that its own block is the first or second of."""
+    """The table twice, each row once for every pair (p, q) of blocks that its own block is the first or second of; the second's columns end in _."""
     n = max(1, -(-table.count() // block))
     own = table.withColumn("_b", F.pmod(F.xxhash64("i"), F.lit(n)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(n - 1))
-    return own.select("i", "v", F.col("_b").alias("p"), F.explode(every).alias("q")), own.select("i", "v", F.explode(every).alias("p"), F.col("_b").alias("q"))
+    return own.select(*table.columns, F.col("_b").alias("p"), F.explode(every).alias("q")), own.select(*[F.col(c).alias(f"{c}_") for c in table.columns], F.explode(every).alias("p"), F.col("_b").alias("q"))
 
 
 def top_cosine(vectors: DataFrame, item: str, vector: str, k: int, apart: str | None = None, least: float = -1.0, block: int = BLOCK) -> DataFrame:
@@ -71,12 +71,14 @@ def top_cosine(vectors: DataFrame, item: str, vector: str, k: int, apart: str |
     dropped. Exact: blocks of vectors meet as matrices, each keeps its k best for a
     row, and a window picks the k best of these; no task holds more than two blocks.
     """
-    v = vectors.select(F.col(item).cast("long").alias("i"), F.struct(F.col(vector).cast("array<double>").alias("x"), (F.col(apart).cast("string") if apart else F.lit("")).alias("g")).alias("v"))
+    v = vectors.select(F.col(item).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"), (F.col(apart).cast("string") if apart else F.lit("")).alias("g"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a, b = (np.stack([np.asarray(r["x"], float) for r in part["v"]]) for part in (left, right))
-        ga, gb = (np.array([r["g"] for r in part["v"]], object) for part in (left, right))
-        ia, ib = left["i"].to_numpy(), right["i"].to_numpy()
+        if not len(left) or not len(right):
+            return pd.DataFrame({"item_a": [], "item_b": [], "similarity": []})
+        a, b = (np.stack(c.to_numpy()) for c in (left["v"], right["v_"]))
+        ga, gb = left["g"].to_numpy(), right["g_"].to_numpy()
+        ia, ib = left["i"].to_numpy(), right["i_"].to_numpy()
         order = np.argsort(ib)
         b, gb, ib = b[order], gb[order], ib[order]
         out = []
@@ -160,4 +162,4 @@ def shortlist(pairs: DataFrame, quotas: Sequence[tuple[str, int]], total: int, d
         return keep[["item_a", "item_b"]].assign(chosen_as=keep["place"].map(chosen), place=range(1, len(keep) + 1))
 
     kinds = dict(pairs.dtypes)
-    return ranked.select("item_a", "item_b", *names, "place").groupBy(F.lit(1)).applyInPandas(choose, f"item_a {kinds['item_a']}, item_b {kinds['item_b']}, chosen_as string, place int")
+    return ranked.select("item_a", "item_b", *names, "place", F.lit(1).alias("all")).groupBy("all").applyInPandas(choose, f"item_a {kinds['item_a']}, item_b {kinds['item_b']}, chosen_as string, place int")

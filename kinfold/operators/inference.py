@@ -131,7 +131,7 @@ def paired_cluster_bootstrap(contributions: DataFrame, cluster: str, replicates:
         low, high = np.quantile((b - a) / n, [0.025, 0.975])
         return pd.DataFrame({"n_clusters": [int(counts.sum())], "estimate": [float((counts * (part["b"] - part["a"])).sum() / total)], "low": [low], "high": [high]})
 
-    return kinds.groupBy(F.lit(1)).applyInPandas(draw, "n_clusters long, estimate double, low double, high double")
+    return kinds.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(draw, "n_clusters long, estimate double, low double, high double")
 
 
 def effective_size(weights: Column) -> Column:
