@@ -217,10 +217,10 @@ def strength(p: Column, d: Column, w: Column, same_origin: Column, radius: int =
 
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Bounds of a rate's Wilson interval; null for n <= 0."""
-    n = n.cast("double")
-    p = k / F.when(n > 0, n)
+    n = F.when(n > 0, n.cast("double"))
+    p = k / n
     middle, half = (p + z * z / (2 * n)) / (1 + z * z / n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    return F.greatest(F.lit(0.0), middle - half), F.least(F.lit(1.0), middle + half)
+    return F.when(n.isNotNull(), F.greatest(F.lit(0.0), middle - half)), F.when(n.isNotNull(), F.least(F.lit(1.0), middle + half))
 
 
 # relation of a pair from evidence

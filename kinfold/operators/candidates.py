@@ -95,8 +95,8 @@ def top_cosine(vectors: DataFrame, item: str, vector: str, k: int, apart: str |
 
     left, right = _in_blocks(v, block)
     met = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(meet, "item_a long, item_b long, similarity double")
-    # rounded before it is ranked, so that the last bits of a sum don't decide ties
-    ranked = met.withColumn("similarity", F.round("similarity", 9)).withColumn("rank", F.row_number().over(Window.partitionBy("item_a").orderBy(F.desc("similarity"), "item_b")))
+    # ranked by a rounded value, so that the last bits of a sum don't decide ties
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("item_a").orderBy(F.round("similarity", 9).desc(), "item_b")))
     return ranked.filter((F.col("rank") <= k) & (F.col("similarity") >= least))
 
 

@@ -267,9 +267,9 @@ ORACLE = {
     "hamming_sign_pairs": f"with {_SIGNS} select a.vec_id as item_a, b.vec_id as item_b, bit_count(xor(a.bits, b.bits))::int as distance from signs a join signs b on a.vec_id < b.vec_id where bit_count(xor(a.bits, b.bits)) <= 18",
     "hamming_band_pairs": f"with {_SIGNS}, both_ as (select vec_id, bits from signs union all select vec_id + 10000000, xor(xor(bits, (1::bigint << (vec_id % 63))), (1::bigint << ((vec_id * 7 + 1) % 63))) from signs) select a.vec_id as item_a, b.vec_id as item_b, bit_count(xor(a.bits, b.bits))::int as distance from both_ a join both_ b on a.vec_id < b.vec_id where bit_count(xor(a.bits, b.bits)) <= 4",
     "topk_cosine": f"with {TOP} select item_a, item_b, round(similarity, 6) as similarity, rank::int as rank from top where rank <= 12",
-    "topk_cosine_cross_label": f"with {TOP}, t as (select item_a, item_b, similarity, row_number() over (partition by item_a order by similarity desc, item_b) as rank from sims where label_a <> label_b) select item_a, item_b, round(similarity, 6) as similarity, rank::int as rank from t where rank <= 5 and similarity >= 0.3",
+    "topk_cosine_cross_label": f"with {TOP}, t as (select item_a, item_b, similarity, row_number() over (partition by item_a order by round(similarity, 9) desc, item_b) as rank from sims where label_a <> label_b) select item_a, item_b, round(similarity, 6) as similarity, rank::int as rank from t where rank <= 5 and similarity >= 0.3",
     "sequence_adjacent": "with s as (select user_id, event_id as item_a, lead(event_id) over w as item_b, lead(epoch_us(ts) / 1e6) over w - epoch_us(ts) / 1e6 as delta from events window w as (partition by user_id order by epoch_us(ts) / 1e6, event_id)) select user_id, item_a, item_b, round(delta, 3) as delta, case when delta <= 60 then 'near' else 'adjacent' end as reason from s where delta > 0 and delta <= 600",
-    "pair_union_reasons": f"with {TOP}, x as (select item_a, item_b, similarity, row_number() over (partition by item_a order by similarity desc, item_b) as rank from sims where label_a <> label_b), u as (select item_a, item_b, 'near' as reason, similarity, rank from top where rank <= 6 union all select item_a, item_b, 'cross_label', similarity, rank from x where rank <= 3 union all select a.vec_id, b.vec_id, 'sequence', null, null from embeddings a join embeddings b on b.vec_id = a.vec_id + 1) select least(item_a, item_b) as item_a, greatest(item_a, item_b) as item_b, string_agg(distinct reason, '|' order by reason) as reasons, round(max(similarity), 6) as similarity, min(rank)::int as best_rank from u group by 1, 2",
+    "pair_union_reasons": f"with {TOP}, x as (select item_a, item_b, similarity, row_number() over (partition by item_a order by round(similarity, 9) desc, item_b) as rank from sims where label_a <> label_b), u as (select item_a, item_b, 'near' as reason, similarity, rank from top where rank <= 6 union all select item_a, item_b, 'cross_label', similarity, rank from x where rank <= 3 union all select a.vec_id, b.vec_id, 'sequence', null, null from embeddings a join embeddings b on b.vec_id = a.vec_id + 1) select least(item_a, item_b) as item_a, greatest(item_a, item_b) as item_b, string_agg(distinct reason, '|' order by reason) as reasons, round(max(similarity), 6) as similarity, min(rank)::int as best_rank from u group by 1, 2",
     "evidence_gate_tiers": _GATED + " select item_a, item_b, tier, risk, risk_score, round(first_similarity + 0.5 * second_similarity + 0.1 * risk_score, 6) as evidence_score from gated",
     "gate_performance": _GATED + " select risk, count(*) as n, round(avg((tier <> 'D')::int), 9) as pass_rate, round(avg((tier = 'A')::int), 9) as primary_rate from gated group by risk",
     "recall_at_k": f"with {TOP}, p as (select item_a, label_a, max(similarity) as best, min(rank) filter (label_a = label_b) as hit from top where rank <= 20 group by 1, 2) select label_a as label, count(*) as n, round(quantile_cont(best, 0.5), 6) as median, round(quantile_cont(best, 0.05), 6) as q05, round(quantile_cont(best, 0.95), 6) as q95, " + ", ".join(f"round(avg(coalesce((hit <= {k})::int, 0)), 9) as recall_{k}" for k in (1, 5, 10, 20)) + " from p group by 1",

@@ -83,9 +83,9 @@ def edges(spark: SparkSession, sf_dir: str, k: int = 6) -> DataFrame:
     return pairs.withColumn("relation", relation_of(F.col("similarity")))
 
 
-TOP = """sims as (select a.vec_id as item_a, b.vec_id as item_b, a.label as label_a, b.label as label_b, round(list_inner_product(a.embedding::double[], b.embedding::double[]), 9) as similarity
+TOP = """sims as (select a.vec_id as item_a, b.vec_id as item_b, a.label as label_a, b.label as label_b, list_inner_product(a.embedding::double[], b.embedding::double[]) as similarity
   from embeddings a join embeddings b on a.vec_id <> b.vec_id),
-top as (select *, row_number() over (partition by item_a order by similarity desc, item_b) as rank from sims)"""
+top as (select *, row_number() over (partition by item_a order by round(similarity, 9) desc, item_b) as rank from sims)"""
 EDGES = TOP + """,
 edges as (select distinct least(item_a, item_b) as item_a, greatest(item_a, item_b) as item_b, round(similarity, 6) as similarity,
   case when round(similarity, 6) >= 0.45 then 'VERIFIED_DERIVATIVE_STRONG' when round(similarity, 6) >= 0.42 then 'VERIFIED_DERIVATIVE_MODERATE' when round(similarity, 6) >= 0.38 then 'GEOMETRIC_SAME_SCENE_ONLY'
