@@ -67,18 +67,27 @@ def _templates(spark: SparkSession) -> tuple[DataFrame, DataFrame, float]:
     return weighed.join(F.broadcast(norms), "part").select("token", "name", "part", (F.col("w") / F.col("norm")).alias("weight")), idf, unseen
 
 
+#: What a text is known by in joins: two hashes of 64 bits, so that no long text is ever a key.
+UNIT = ("u", "w")
+
+
+def _keyed(text: str) -> list[Column]:
+    return [F.xxhash64(F.col(text)).alias("u"), F.xxhash64(F.lit("w"), F.col(text)).alias("w")]
+
+
 def cosines(spark: SparkSession, texts: DataFrame) -> DataFrame:
-    """(unit, name, score): the best template for each distinct text in the column unit; none if they share no token."""
+    """(u, w, name, score): the best template for each distinct text of the column unit; none if they share no token."""
     templates, idf, unseen = _templates(spark)
-    tf = texts.select("unit", F.explode(_tokens(F.col("unit"))).alias("token")).groupBy("unit", "token").agg(F.count("*").alias("tf"))
-    weighed = tf.join(F.broadcast(idf), "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
+    keyed = texts.select(*_keyed("unit"), "unit").dropDuplicates(UNIT)
+    tf = keyed.select(*UNIT, F.explode(_tokens(F.col("unit"))).alias("token")).groupBy(*UNIT, "token").agg(F.count("*").alias("tf"))
+    weighed = tf.join(F.broadcast(idf), "token", "left").withColumn("w_", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
     # one pass for norms and products: a token's products ride along with its row
     by_token = templates.groupBy("token").agg(F.collect_list(F.struct("name", "part", "weight")).alias("at"))  # as many as templates
     met = weighed.join(F.broadcast(by_token), "token", "left")
-    norms = met.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = met.select("unit", "w", F.explode("at").alias("t")).groupBy("unit", "t.name", "t.part").agg(F.sum(F.col("w") * F.col("t.weight")).alias("dot"))
-    scored = dots.join(norms, "unit").select("unit", "name", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
-    return scored.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b")).select("unit", "b.name", (-F.col("b.s")).alias("score"))
+    norms = met.groupBy(*UNIT).agg(F.sqrt(F.sum(F.col("w_") * F.col("w_"))).alias("norm"))
+    dots = met.select(*UNIT, "w_", F.explode("at").alias("t")).groupBy(*UNIT, "t.name", "t.part").agg(F.sum(F.col("w_") * F.col("t.weight")).alias("dot"))
+    scored = dots.join(norms, list(UNIT)).select(*UNIT, "name", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    return scored.groupBy(*UNIT).agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b")).select(*UNIT, "b.name", (-F.col("b.s")).alias("score"))
 
 
 def directory(path: Column) -> Column:
@@ -97,10 +106,10 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     # hash of the text and id: rows of the same id are told apart
     found = written_table(found.select("id", "path", F.xxhash64("text").alias("k"), "units", whole.alias("whole")))
     units = found.select("id", "k", F.explode("units").alias("unit"))
-    texts = units.select("unit").unionByName(found.select(F.col("whole").alias("unit")).filter("unit is not null")).distinct()
+    texts = units.select("unit").unionByName(found.select(F.col("whole").alias("unit")).filter("unit is not null"))
     scores = written_table(cosines(spark, texts))
-    own = units.join(scores.filter(F.col("score") >= LEAST), "unit").groupBy(F.col("id").alias("o_id"), F.col("k").alias("o_k")).agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("own"))
-    standing = found.filter("whole is not null and path is not null").join(scores.filter(F.col("score") >= LEAST_WHOLE), F.col("whole") == F.col("unit"))
+    own = units.select("id", "k", *_keyed("unit")).join(scores.filter(F.col("score") >= LEAST), list(UNIT)).groupBy(F.col("id").alias("o_id"), F.col("k").alias("o_k")).agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("own"))
+    standing = found.filter("whole is not null and path is not null").select("path", *_keyed("whole")).join(scores.filter(F.col("score") >= LEAST_WHOLE), list(UNIT))
     by_dir = standing.groupBy(directory(F.col("path")).alias("licence_dir")).agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("d"))
     # each directory that files are in, with all directories above it
     dirs = found.filter("path is not null").select(directory(F.col("path")).alias("dir")).distinct()
