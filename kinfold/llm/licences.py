@@ -58,7 +58,7 @@ def _tokens(of: Column) -> Column:
 
 def _templates(spark: SparkSession) -> tuple[DataFrame, DataFrame, float]:
     """(token, name, part, weight) with norm 1 for each statement; (token, idf); the idf of tokens in no statement."""
-    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "part int, name string, statement string")
+    rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("part"), F.lit(name).alias("name"), F.lit(said).alias("statement")) for i, (name, said) in enumerate(TEMPLATES)])))
     tokens = rows.select("part", "name", F.explode(_tokens(F.col("statement"))).alias("token")).groupBy("part", "name", "token").agg(F.count("*").alias("tf"))
     idf = tokens.groupBy("token").agg((F.log((1 + len(TEMPLATES)) / (1 + F.count("*").cast("double"))) + 1).alias("idf"))
     weighed = tokens.join(F.broadcast(idf), "token").withColumn("w", F.col("tf") * F.col("idf"))

@@ -3,7 +3,7 @@
 The patterns' spans are the base. Besides, two first-order Markov models are
 trained from samples whose labels the base gives: random strings are the values that
 its patterns match in any document, ordinary ones the words of SAMPLE documents (by a
-hash of the text) outside of these spans. A token of LENGTH characters or more that
+hash of the text) that neither they nor the test for tokens below match. A token of LENGTH characters or more that
 holds letters and digits and meets no base span becomes a span of kind model if its
 log-likelihood ratio between the two is large enough, as a whole and by character.
 
@@ -88,7 +88,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     chosen = found.select("k").distinct().orderBy(F.abs(F.xxhash64("k")), "k").limit(sample)
     words = read.join(F.broadcast(chosen), "k", "left_semi").select(F.explode(F.split("text", r"[^A-Za-z0-9+/_=.-]+")).alias("value"))
     values = found.select(F.explode(F.concat(*[F.coalesce(kind, none) for kind in KINDS])).alias("v")).select("v.value").filter(F.length("value") > 1)
-    ordinary = words.filter((F.length("value") > 3) & ~F.col("value").rlike("|".join(f"(?:{p})" for p, *_ in KINDS.values())))
+    ordinary = words.filter((F.length("value") > 3) & ~F.col("value").rlike("|".join(f"(?:{p})" for p in [*(p for p, *_ in KINDS.values()), TOKEN])))
     table = F.broadcast(ratios(values, ordinary))  # one row for each pair of ALPHABET
     tokens = found.select("doc_id", "k", F.explode("token").alias("t"))
     distinct = tokens.select(F.col("t.value").alias("value")).distinct()
