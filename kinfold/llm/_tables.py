@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +42,32 @@ def byte_of_letter() -> dict[str, int]:
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in plain]
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def frugal(worker: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The worker function, giving freed memory back to the system: workers are kept for later tasks, and their allocators would keep it too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        def fed() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                pa.default_memory_pool().release_unused()
+
+        yield from worker(fed())
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # only some C libraries have it
+            pass
+
+    return run
+
+
+def texts_of(column: pa.Array, step: int = 500) -> Iterator[str]:
+    """The column's strings, nulls as empty ones, made a few at a time."""
+    for at in range(0, len(column), step):
+        for text in column.slice(at, step).to_pylist():
+            yield text or ""

@@ -21,6 +21,7 @@ encoded row by row. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._tables import byte_of_letter, once, two
+from kinfold.llm._tables import byte_of_letter, frugal, once, two
 
 WIDTH, CUT, LEAST, MOST = 16, 10, 256, 4096
 #: Chunks in the dictionary at most (of MOST bytes at most); chunks a worker remembers besides.
@@ -84,13 +85,10 @@ class ByteEncoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path = path
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = [s.encode() for s in special]
         as_byte = byte_of_letter()
@@ -108,6 +106,16 @@ class ByteEncoder:
         self.sizes = np.array([len(b) for b in self.bytes_of], np.int64)
         self.remembered: dict[bytes, tuple] = {}
 
+    @functools.cached_property
+    def tokenizer(self):
+        """Only made where a text needs it."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.no_truncation()
+        made.no_padding()
+        return made
+
     def alone(self, data: bytes) -> np.ndarray:
         return self.merge.encode_to_numpy(data.decode())
 
@@ -153,7 +161,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, k, text -> chunk, doc_id, k, start, size for each chunk; chunk is a hash."""
     import xxhash
 
-    for batch in batches:
+    for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
         out: list[tuple] = []
         for doc, k, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             data, start = (text or "").encode(), 0
@@ -167,7 +175,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_chunks(docs: DataFrame, tokenizer: str, most: int = DICTIONARY) -> dict[bytes, np.ndarray]:
     """The chunks of doc_id, k, text that occur in several places and save most, each encoded once; at most so many, however large the input."""
-    places = docs.mapInArrow(_chunks, "chunk long, doc_id long, k long, start int, size int")
+    places = docs.mapInArrow(frugal(_chunks), "chunk long, doc_id long, k long, start int, size int")
     counted = places.groupBy("chunk", "size").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k", "start")).alias("at")).filter("n > 1")
     chosen = counted.orderBy(F.desc(F.expr("(n - 1) * size")), "chunk").limit(most).select(F.col("at.doc_id").alias("a_id"), F.col("at.k").alias("a_k"), F.struct(F.col("at.start").alias("start"), "size").alias("place"))
     asked = chosen.groupBy("a_id", "a_k").agg(F.collect_list("place").alias("places"))
@@ -184,7 +192,7 @@ def shared_chunks(docs: DataFrame, tokenizer: str, most: int = DICTIONARY) -> di
                         found[piece] = encoder.alone(piece).astype("<u4").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["piece", "ids"])
 
-    rows = docs.join(F.broadcast(asked), F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("k") == F.col("a_k"))).select("text", "places").mapInArrow(encoded, "piece binary, ids binary").collect()
+    rows = docs.join(F.broadcast(asked), F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("k") == F.col("a_k"))).select("text", "places").mapInArrow(frugal(encoded), "piece binary, ids binary").collect()
     return {bytes(r["piece"]): np.frombuffer(bytes(r["ids"]), "<u4") for r in rows}
 
 
@@ -205,4 +213,4 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([encoder.decode(x.tolist()) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return read.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return read.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, ids array<int>, decoded string")

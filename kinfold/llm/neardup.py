@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._tables import two
+from kinfold.llm._tables import frugal, texts_of, two
 from kinfold.operators.graph import connected_components
 from kinfold.runtime import written_table
 
@@ -60,7 +60,7 @@ def fingerprint(text: str) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([fingerprint(x or "") for x in batch.column(2).to_pylist()], np.uint64)
+        found = np.array([fingerprint(x) for x in texts_of(batch.column(2))], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "k", "fp"])
 
 
@@ -210,7 +210,9 @@ def _in_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(unique: DataFrame, count: int) -> DataFrame:
     """(a, b): links that connect exactly the fingerprints (column fp, distinct) that a chain of pairs within RADIUS connects."""
-    sample = [r["fp"] for r in unique.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
+    # about 4 * SAMPLE are left to choose from, so that no task sends more than its share of them
+    thin = unique.filter(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(max(1, count // (4 * SAMPLE)))) == 0)
+    sample = [r["fp"] for r in thin.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
     levels = max(0, int(np.ceil(np.log2(max(1, count) / SHARD))))
     seen = np.array(sample, np.int64).view(np.uint64)
     routers = [Router(seen, mask, min(levels, 40)) for mask in BLOCKS]
@@ -222,14 +224,14 @@ def links(unique: DataFrame, count: int) -> DataFrame:
                 for shard, rows, stored in router.route(fps):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), len(BLOCKS) * shard + tree, np.int64)), pa.array(fps[rows].view(np.int64)), pa.array(stored)], names=["shard", "fp", "stored"])
 
-    dealt = unique.select("fp").mapInArrow(route, "shard long, fp long, stored boolean")
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_in_shards, "a long, b long").distinct()
+    dealt = unique.select("fp").mapInArrow(frugal(route), "shard long, fp long, stored boolean")
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(frugal(_in_shards), "a long, b long").distinct()
 
 
 def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, k, fp) of every row, k a hash of the text; (fp, first) of every fingerprint: its class's first row as struct(no_id, doc_id, k)."""
     rows = two(docs, key, text).select("doc_id", F.xxhash64("text").alias("k"), "text")
-    found = written_table(rows.mapInArrow(_fingerprints, "doc_id long, k long, fp long"))
+    found = written_table(rows.mapInArrow(frugal(_fingerprints), "doc_id long, k long, fp long"))
     unique = written_table(found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("least")))
     classes = connected_components(links(unique, unique.count()), "a", "b").withColumnRenamed("node", "fp")
     named = unique.join(classes, "fp", "left").withColumn("component", F.coalesce("component", "fp"))

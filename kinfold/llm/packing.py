@@ -15,6 +15,7 @@ ids are packed row by row. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from kinfold.llm._tables import byte_of_letter, once, two
+from kinfold.llm._tables import byte_of_letter, frugal, once, two
 from kinfold.runtime import written_table
 
 WINDOW, END = 2048, 1
@@ -55,16 +56,22 @@ class WordEncoder:
     KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path = path
         self.special = sorted({t["content"] for t in spec["added_tokens"]})
         self.fast = self._fast(spec)
 
+    @functools.cached_property
+    def tokenizer(self):
+        """Only made where a text needs it."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.no_truncation()
+        made.no_padding()
+        return made
+
     def _fast(self, spec: dict):
         import tiktoken
 
@@ -115,7 +122,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                     kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
 
-    return two(docs, key, text).mapInArrow(cut, schema)
+    return two(docs, key, text).mapInArrow(frugal(cut), schema)
 
 
 class OpenWindows:

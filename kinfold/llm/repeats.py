@@ -28,18 +28,18 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm._tables import frugal
 from kinfold.runtime import written_table
 
 SPAN, GRAM = 400, 96
 HOT, SPLIT = 4096, 248
 #: Bytes that are scanned, or sorted, at a time.
-SCAN, SORT = 1 << 20, 48 << 20
+SCAN, SORT = 1 << 18, 16 << 20
 _TABLE = np.random.default_rng(96).integers(0, 2**63, 256, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
@@ -277,7 +277,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     whole: the same surroundings occur elsewhere, so all of them are a repeat.
     """
-    found = written_table(docs.mapInArrow(_scan, "doc_id long, k long, gram long, around long, pos int"))
+    found = written_table(docs.mapInArrow(frugal(_scan), "doc_id long, k long, gram long, around long, pos int"))
     often = found.groupBy("gram").agg(F.count("*").alias("_n")).filter("_n > 1").select("gram")
     places = written_table(found.join(often, "gram", "left_semi"))
     distinct = places.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k", "pos")).alias("at"))
@@ -288,16 +288,16 @@ def occurrences(docs: DataFrame) -> DataFrame:
         .groupBy("a_id", "a_k")
         .agg(F.collect_list("place").alias("places"))
     )
-    around = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("k") == F.col("a_k"))).select("doc_id", "k", "text", "places").mapInArrow(_surroundings, "group long, gram long, around long, left binary, right binary")
-    met = around.repartition("group").sortWithinPartitions("group").mapInArrow(_meet, "gram long, around long, found array<struct<repeat: long, l: int, r: int>>")
+    around = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("k") == F.col("a_k"))).select("doc_id", "k", "text", "places").mapInArrow(frugal(_surroundings), "group long, gram long, around long, left binary, right binary")
+    met = around.repartition("group").sortWithinPartitions("group").mapInArrow(frugal(_meet), "gram long, around long, found array<struct<repeat: long, l: int, r: int>>")
     met = met.groupBy("gram", "around").agg(F.flatten(F.collect_list("found")).alias("found"))
     whole = distinct.filter("n > 1").select("gram", "around", F.lit(True).alias("whole"))
     return places.join(met.join(whole, ["gram", "around"], "full_outer"), ["gram", "around"]).select("doc_id", "k", "pos", "found", F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """carried, text, ranges -> carried, n_bytes, n_removed, n_spans, kept."""
-    for batch in batches:
+    """carried, text, ranges -> carried, n_bytes, n_removed, n_spans, kept. A few rows at a time."""
+    for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
         offsets, data = _bytes_of(batch.column(1))
         out: list[tuple] = []
         for row, ranges in enumerate(batch.column(2).to_pylist()):
@@ -315,19 +315,21 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), (*[pa.int64()] * 3, pa.binary()), strict=True)]], names=["carried", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) for every row; carried: a struct of the columns to carry."""
+def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _keep, kept being text: a code point that was cut apart goes."""
+    for batch in _keep(batches):
+        texts = pa.array([b.decode("utf-8", "ignore") for b in batch.column(4).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], texts], names=batch.schema.names)
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes, or text) for every row; carried: a struct of the columns to carry."""
     carried = F.struct(*[F.col(c) for c in carry] or [F.lit(None).cast("int").alias("none")])
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("k"), F.col(text).cast("string").alias("text"), *([carried.alias("carried")] if carry else []))
     extent = F.when(F.col("whole"), F.array(F.struct((F.col("pos") - (SPAN - GRAM)).alias("a"), (F.col("pos") + SPAN).alias("b")))).otherwise(F.transform("found", lambda x: F.struct((F.col("pos") - x["l"]).alias("a"), (F.col("pos") + x["r"]).alias("b"))))
     ranges = occurrences(rows.select("doc_id", "k", "text")).select(F.col("doc_id").alias("r_id"), F.col("k").alias("r_k"), extent.alias("ranges")).groupBy("r_id", "r_k").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     joined = rows.join(ranges, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("k") == F.col("r_k")), "left").select(F.struct("doc_id", *(["carried"] if carry else [])).alias("carried"), "text", "ranges")
     kind = joined.schema["carried"].dataType.simpleString()
-    kept = joined.mapInArrow(_keep, f"carried {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    kept = joined.mapInArrow(frugal(_as_text if as_text else _keep), f"carried {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
     return kept.select("carried.doc_id", "n_bytes", "n_removed", "n_spans", "kept", *([F.col("carried.carried").alias("carried")] if carry else []))
 
-
-@F.pandas_udf("string")
-def as_text(kept: pd.Series) -> pd.Series:
-    """What is left as text: a code point that was cut apart goes."""
-    return pd.Series([None if x is None else bytes(x).decode("utf-8", "ignore") for x in kept])

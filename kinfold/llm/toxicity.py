@@ -28,12 +28,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._tables import two
+from kinfold.llm._tables import frugal, once, texts_of, two
 from kinfold.runtime import written_table
 
 #: Labelled rows that the classifier is fitted on at most; features that it may have.
@@ -68,11 +67,10 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held: list[str] = []
         size = 0
-        texts = batch.column(0).to_pylist()
-        for i, text in enumerate(texts):
-            held.append(text or "")
-            size += len(held[-1])
-            if size > 1 << 20 or i == len(texts) - 1:
+        for i, text in enumerate(texts_of(batch.column(0)), 1):
+            held.append(text)
+            size += len(text)
+            if size > 1 << 18 or i == batch.num_rows:
                 s = symbols("  ".join(["", *held, ""]))
                 if len(s) > 2:
                     total += np.bincount(s[:-2] * SYMBOLS**2 + s[1:-1] * SYMBOLS + s[2:], minlength=SYMBOLS**3)
@@ -83,7 +81,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def character_model(docs: DataFrame) -> list[float]:
     """Log probabilities of a symbol after two others, from the trigrams of every document (SYMBOLS ** 3 numbers)."""
-    rows = docs.select("text").mapInArrow(_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(frugal(_trigrams), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(SYMBOLS**3)
     for r in rows:
         counts[r["code"]] = r["n"]
@@ -196,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: list[float], label: str = "to
                 part = batch.slice(at, 1000)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([sorted(reader.features(x or "")) for x in part.column(2).to_pylist()], pa.list_(pa.string()))], names=["l_id", "y", "features"])
 
-    seen = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("l_id", "y", "text").mapInArrow(featured, "l_id long, y int, features array<string>")
+    seen = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("l_id", "y", "text").mapInArrow(frugal(featured), "l_id long, y int, features array<string>")
     seen = written_table(seen.withColumn("row", F.monotonically_increasing_id()))
     n = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -220,17 +218,18 @@ def fit(docs: DataFrame, labels: DataFrame, model: list[float], label: str = "to
     return weights, slope, offset
 
 
-def scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS) -> Callable[[Column], Column]:
-    """A vectorised function from a text column to scores: character model from all rows of docs, classifier from their labels."""
+def scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS) -> Callable[[pa.Array], np.ndarray]:
+    """A function from an Arrow column of texts to scores: character model from all rows of docs, classifier from their labels."""
     read = two(docs, key, text)
     model = character_model(read)
     weights, slope, offset = fit(read, labels, model, label, train_rows)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        reader = Reader(model)
-        sums = np.array([sum(weights[f] for f in sorted(reader.features(x or "") & weights.keys())) for x in texts], float)
-        return pd.Series(1 / (1 + np.exp(-np.clip(slope * np.log1p(sums) + offset, -50, 50))))
+    def scored(texts: pa.Array) -> np.ndarray:
+        reader = once("reader", lambda: Reader(model))
+        if reader.model != model:  # of another corpus
+            reader.__init__(model)
+        sums = np.array([sum(weights[f] for f in sorted(reader.features(x) & weights.keys())) for x in texts_of(texts)], float)
+        return 1 / (1 + np.exp(-np.clip(slope * np.log1p(sums) + offset, -50, 50)))
 
     return scored
 
@@ -238,10 +237,21 @@ def scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     scored = scorer(docs, labels, key, text, label, train_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scored(batch.column(1)))], names=["doc_id", "score"])
+
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
-    return two(docs, key, text).select("doc_id", held.alias("held_out"), scored("text").alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return two(docs, key, text).mapInArrow(frugal(run), "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of docs, with all their columns, that aren't predicted toxic."""
-    return docs.filter(scorer(docs, labels, key, text, label, train_rows)(F.col(text)) < 0.5)
+    scored, at = scorer(docs, labels, key, text, label, train_rows), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scored(batch.column(at)) < 0.5))
+
+    return docs.mapInArrow(frugal(run), docs.schema)
