@@ -288,3 +288,55 @@ def relation(columns: Sequence[str], in_sequence: Column) -> Column:
         name, reason = (name.when(condition, relation_name), reason.when(condition, why)) if i else (F.when(condition, relation_name), F.when(condition, why))
     score = 100.0 * F.greatest(mean("direct"), 0.6 * mean("geometry") + 0.4 * mean("photo"))
     return F.struct(name.otherwise(RELATIONS[4]).alias("relation"), reason.otherwise("insufficient_support").alias("reason"), score.alias("score"))
+
+
+# metadata and labels
+
+
+def metadata_numbers(width: str = "width", height: str = "height", size: str = "bytes") -> dict[str, Column]:
+    """Logs of width, height and bytes (1 at least), aspect ratio and megapixels; null sizes count as missing."""
+    w, h, b = (F.greatest(F.col(c).cast("double"), F.lit(1.0)) for c in (width, height, size))
+    return {"log_width": F.log(w), "log_height": F.log(h), "log_bytes": F.log(b), "aspect": w / h, "megapixels": w * h / 1e6}
+
+
+def by_rules(rules: Sequence[tuple[Column, str, str]], default: Column) -> Column:
+    """struct(label, rule): the first rule (condition, label, name) that holds, else the default by rule `unchanged`."""
+    label = rule = F
+    for condition, name, why in rules:
+        label, rule = label.when(condition, name), rule.when(condition, why)
+    return F.struct((label.otherwise(default) if rules else default).alias("label"), (rule.otherwise("unchanged") if rules else F.lit("unchanged")).alias("rule"))
+
+
+def origin_key(name: Column, scope: Column, patterns: Sequence[tuple[str, str, str]]) -> Column:
+    """struct(key, rule): where a file comes from, by the first pattern (name, regex, kind) that its lower-cased name matches.
+
+    kind `text`: the first group; `number`: the first group and the second as a number; else the scope and the plain stem.
+    """
+    low = F.lower(name)
+    plain = F.regexp_replace(F.regexp_replace(stem(low), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    key = rule = F
+    for label, regex, kind in patterns:
+        hit = low.rlike(regex)
+        found = F.regexp_extract(low, regex, 1)
+        if kind == "number":
+            found = F.concat_ws(":", found, F.regexp_extract(low, regex, 2).try_cast("bigint").cast("string"))
+        key, rule = key.when(hit, F.concat(F.lit(f"{label}:"), found)), rule.when(hit, label)
+    other = F.concat_ws(":", F.lit("name"), scope, plain)
+    return F.struct((key.otherwise(other) if patterns else other).alias("key"), (rule.otherwise("name") if patterns else F.lit("name")).alias("rule"))
+
+
+def best_method(rows: str, value: str) -> Column:
+    """Aggregate: of several methods' results (struct column `value`) the one with most inliers, then by ratio, aligned
+    correlation, similarity, overlap and least error; what isn't finite counts as worst."""
+    r = F.col(rows)
+    key = F.struct(F.coalesce(r["inliers"], F.lit(0)).alias("a"), *[finite(r[c], -999.0).alias(c) for c in ("ratio", "aligned_ncc", "aligned_ssim", "overlap")], (-finite(r["reproj"], 999.0)).alias("z"))
+    return F.max_by(F.col(value), key)
+
+
+def histogram(label: str) -> Column:
+    """Aggregate over one label column already counted (column n): label:count, sorted, joined by |."""
+    return F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col(label).cast("string"), F.col("n").cast("string")))), "|")
+
+
+def shard_of(rank: Column, shards: int) -> Column:
+    return F.pmod(rank - 1, F.lit(shards)).cast("int")

@@ -258,6 +258,31 @@ def split_block_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.blocks(m.join(block, "item").join(lineage, "item"), e, "block", "lineage")
 
 
+def analysis_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineages of one label as units of two tasks, each with a representative."""
+    e = edges(spark, sf_dir)
+    m = _members(spark, sf_dir)
+    block = R.grouped(m.select("item"), U.relation_subset(e, "block"), "item", "item_a", "item_b").withColumnRenamed("component", "block")
+    lineage = R.grouped(m.select("item"), U.relation_subset(e, "strict"), "item", "item_a", "item_b").withColumnRenamed("component", "lineage")
+    tasks = {"low": [str(i) for i in range(5)], "even": [str(i) for i in range(0, 10, 2)]}
+    return U.analysis_units(m.join(block, "item").join(lineage, "item"), "lineage", "block", "label", tasks, [F.col("split").asc(), F.col("item").desc()])
+
+
+def matching_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _members(spark, sf_dir)
+    block = _components(spark, sf_dir, "block").withColumnRenamed("component", "block")
+    return U.matching_blocks(m.join(block, "item"), "block", "item").groupBy("pure", "size_bin").agg(F.count("*").alias("n_blocks"), F.sum("paths").alias("n_items"))
+
+
+def method_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two made-up methods for a pair the one that the evidence prefers."""
+    p = evidence_pairs(spark, sf_dir)
+    own = F.struct(F.lit("first").alias("method"), F.floor("inliers").cast("int").alias("inliers"), "ratio", "aligned_ncc", "aligned_ssim", "overlap", "reproj")
+    other = F.struct(F.lit("second").alias("method"), F.floor(40 - F.col("inliers")).cast("int").alias("inliers"), *[F.col(c) for c in ("ratio", "aligned_ncc", "aligned_ssim", "overlap", "reproj")])
+    rows = p.select("item_a", "item_b", F.explode(F.array(own, other)).alias("r"))
+    return rows.groupBy("item_a", "item_b").agg(X.best_method("r", "r").alias("b")).select("item_a", "item_b", "b.method", "b.inliers")
+
+
 _SIGNS = "signs as (select vec_id, list_sum(list_transform(range(63), lambda i: case when embedding[i + 1] > 0 then (1::bigint << i) else 0 end))::bigint as bits from embeddings)"
 _MEMBERS = "members as (select vec_id as item, label::varchar as label, 's' || (vec_id % 3)::varchar as source, case when vec_id % 10 <= 6 then 'train' when vec_id % 10 <= 8 then 'validation' else 'test' end as split from embeddings)"
 _LEVEL = lambda level: "with recursive " + COMPONENTS.format(relations=LEVELS[level])
@@ -283,6 +308,8 @@ ORACLE = {
     **{f"components_{level}": _LEVEL(level) + " select item, component from comp" for level in ("strict", "extended")},
     "components_block": _LEVEL("block") + ", g as (select component, 'BLOCK_' || substr(sha256(string_agg(item::varchar, chr(10) order by item::varchar)), 1, 16) as group_id from comp group by 1) select item, component, group_id from comp join g using (component)",
     "ambiguity_blocks": _LEVEL("block") + ", risky as (select distinct ca.component as x, cb.component as y from edges e join comp ca on ca.item = e.item_a join comp cb on cb.item = e.item_b where e.relation = 'AMBIGUOUS_MANUAL_REVIEW' and ca.component <> cb.component and (case when e.item_a % 10 <= 6 then 0 when e.item_a % 10 <= 8 then 1 else 2 end) <> (case when e.item_b % 10 <= 6 then 0 when e.item_b % 10 <= 8 then 1 else 2 end)), l2 as (select x, y from risky union select y, x from risky), r2(node, other) as (select component, component from comp union select r2.node, l2.y from r2 join l2 on r2.other = l2.x), m as (select node, min(other) as ambiguity_block from r2 group by 1) select item, component as block, ambiguity_block from comp join m on m.node = comp.component",
+    "matching_blocks": _LEVEL("block") + f", {_MEMBERS}, b as (select component, count(distinct source) as s, count(distinct label) as l, count(*) as paths from comp join members using (item) group by 1) select case when s = 1 and l = 1 then 'YES' else 'NO' end as pure, case when paths <= 1 then '1' when paths <= 2 then '2' when paths <= 4 then '3-4' else '5+' end as size_bin, count(*) as n_blocks, sum(paths)::bigint as n_items from b group by 1, 2",
+    "method_choice": f"with {EVIDENCE_PAIRS} select item_a, item_b, case when floor(inliers) >= floor(40 - inliers) then 'first' else 'second' end as method, greatest(floor(inliers), floor(40 - inliers))::int as inliers from pairs",
     "lineage_table": _LEVEL("extended") + f", {_MEMBERS}, t as (select component, count(*) as n_items, count(distinct item) as n_exact_components, string_agg(distinct label, '|' order by label) as labels, count(distinct label) as n_labels, string_agg(distinct source, '|' order by source) as sources, count(distinct source) as n_sources, string_agg(distinct split, '|' order by split) as splits, count(distinct split) as n_splits from comp join members using (item) group by 1) select *, case when n_labels > 1 then 'LABEL_CONFLICT' else '' end as exclusion_reason, case when n_labels > 1 then 'NO' else 'YES' end as eligible, case when n_sources > 1 then 'YES' else 'NO' end as cross_source, case when n_splits > 1 then 'YES' else 'NO' end as cross_split from t",
 }
-QUERIES = {name: globals()[name] for name in (*ORACLE, "shortlist_greedy", "incremental_merges", "bridge_edges", "split_block_table")}
+QUERIES = {name: globals()[name] for name in (*ORACLE, "shortlist_greedy", "incremental_merges", "bridge_edges", "split_block_table", "analysis_units")}

@@ -54,22 +54,43 @@ def rotated_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("test_fold", S.rotated_role(F.col("fold"), F.col("test_fold")).alias("role")).agg(F.count("*").alias("n"))
 
 
-#: Axes of the study's grids; the counts of their combinations are fixed by the study.
+_SEEDS, _FEW = list(range(1, 21)), list(range(1, 11))
+_DESIGNS = ["random", "exact", "lineage", "scene", "ambiguity"]
+_SAFE = ["scene", "ambiguity"]
+_FEATURES, _FITS = ["metadata", "first", "second", "both"], ["logistic", "svm"]
+_TWO, _SOURCES = ["three_class", "four_stage"], ["x", "y", "z"]
+#: The study's grids as parts, each the combinations of a few axes; their sizes (176, 656, 1,406, 168 and 40) are the study's.
 GRIDS = {
-    "frozen_main": {"task": ["three", "four"], "features": ["a", "b"], "classifier": ["logistic", "svm"], "design": ["naive", "lineage", "scene", "ambiguity"], "weighting": ["path"], "seed": list(range(5))},
-    "frozen_holdout": {"task": ["three", "four"], "features": ["a", "b"], "source": ["x", "y", "z", "w"]},
-    "null": {"scenario": ["public", "roboflow"], "replicate": list(range(700))},
-    "shortcut": {"features": list("abcdefghijklmnopqrstuvwx"), "design": list(range(7))},
-    "end_to_end": {"task": ["three", "four"], "model": ["a", "b"], "seed": list(range(5)), "design": ["naive", "safe"]},
+    "frozen": [
+        {"task": _TWO, "design": _DESIGNS, "features": _FEATURES, "fit": _FITS},
+        {"design": ["train_to_validation", "trainval_to_test"], "features": _FEATURES, "fit": _FITS},
+        {"held_out": _SOURCES, "design": ["naive", "strict", "scene"], "features": _FEATURES, "fit": _FITS},
+        {"design": _SAFE, "features": _FEATURES},
+    ],
+    "design": [
+        {"task": _TWO, "design": _DESIGNS, "seed": _SEEDS},
+        {"task": _TWO, "design": _DESIGNS, "features": ["both"], "seed": _FEW},
+        {"task": _TWO, "design": _SAFE, "mode": ["weighted", "representative"], "seed": _SEEDS},
+        {"design": _SAFE, "mode": ["all", "weighted", "representative"], "seed": _SEEDS},
+        {"design": _SAFE, "features": ["both"], "seed": _FEW},
+        {"design": _DESIGNS, "features": ["second", "both"]},
+        {"design": _SAFE, "mode": ["weighted", "representative"]},
+        {"held_out": _SOURCES, "design": _DESIGNS, "features": ["second", "both"]},
+        {"held_out": _SOURCES, "design": _SAFE, "mode": ["weighted", "representative"]},
+    ],
+    "null": [{"scenario": _SOURCES, "kind": ["baseline", "safe"]}, {"scenario": ["public"], "replicate": list(range(500))}, {"scenario": ["x", "y", "z"], "replicate": list(range(300))}],
+    "shortcut": [{"features": list("abcdefghijklmnopqrstuvwx"), "seed": list(range(7))}],
+    "end_to_end": [{"task": _TWO, "model": ["first", "second"], "seed": list(range(5)), "design": ["random", "scene"]}],
 }
 
 
 def config_grid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
-    for name, axes in GRIDS.items():
-        part = S.grid(spark, **axes).agg(F.lit(name).alias("grid"), F.count("*").alias("n_configs"), F.max("array_index").cast("long").alias("last_index"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    for name, parts in GRIDS.items():
+        for i, axes in enumerate(parts):
+            part = S.grid(spark, **axes).agg(F.lit(name).alias("grid"), F.lit(i).alias("part"), F.count("*").alias("n_configs"), F.max("array_index").cast("long").alias("last_index"))
+            out = part if out is None else out.unionByName(part)
+    return out.groupBy("grid").agg(F.count("*").alias("n_parts"), F.sum("n_configs").alias("n_configs"), F.max("last_index").alias("largest_part"))
 
 
 def control_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +247,7 @@ ORACLE = {
     "fixed_test_designs": f"with {ITEMS}, t as (select * from items where split = 'test'), r as (select * from items where split <> 'test'), d as (select 'naive' as design, 'TRAIN' as role, label from r union all select 'content_safe', 'TRAIN', label from r where content not in (select content from t) union all select 'length_safe', 'TRAIN', label from r where n_chars not in (select n_chars from t) union all select d.d, 'TEST', label from t, (values ('naive'), ('content_safe'), ('length_safe')) d(d)) select design, role, label, count(*) as n from d group by all",
     "source_holdout_designs": f"with {ITEMS}, s as (select distinct content, source as held_out from items), u as (select held_out, count(*) as n_unsafe from items join s using (content) where source <> held_out group by 1), n as (select source as held_out, count(*) as n_test from items group by 1) select held_out, n_test, ((select count(*) from items) - n_test)::bigint as n_train_naive, ((select count(*) from items) - n_test - coalesce(n_unsafe, 0))::bigint as n_train_safe from n left join u using (held_out)",
     "rotated_roles": f"with {ITEMS}, {_FOLDS}, r as (select fold, t::int as test_fold, case when fold = t then 'TEST' when fold = (t + 1) % 5 then 'VALIDATION' else 'TRAIN' end as role from folds, range(5) x(t)) select test_fold, role, count(*) as n from r group by all",
-    "config_grid_counts": "select * from (values ('frozen_main', 160::bigint, 160::bigint), ('frozen_holdout', 16, 16), ('null', 1400, 1400), ('shortcut', 168, 168), ('end_to_end', 40, 40)) t(grid, n_configs, last_index)",
+    "config_grid_counts": "select * from (values ('frozen', 4::bigint, 176::bigint, 80::bigint), ('design', 9, 656, 200), ('null', 3, 1406, 900), ('shortcut', 1, 168, 168), ('end_to_end', 1, 40, 40)) t(grid, n_parts, n_configs, largest_part)",
     "control_round_robin": f"with {ITEMS}, r as (select doc_id, source, label, row_number() over (partition by source, label order by sha256('11|' || doc_id::varchar), doc_id)::int as turn from items) select doc_id, source, label, turn from r order by turn, source, label, doc_id limit 120",
     "removal_sets": f"with {ITEMS}, {_SETS} select * from sets",
     "removal_set_hashes": f"with {ITEMS}, {_SETS}, h as (select replicate, count(*) as n_units, sha256(string_agg(doc_id::varchar, '|' order by doc_id::varchar)) as set_hash from sets group by 1) select *, row_number() over (partition by set_hash order by replicate) > 1 as repeated from h",
