@@ -130,3 +130,30 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
         F.when(mine, "own").when(F.col("n.name").isNotNull(), "inherited").alias("via"),
         F.when(~mine, F.col("n.licence_dir")).alias("licence_dir"),
     )
+
+
+def oracle() -> str:
+    """DuckDB SQL of scan() over documents as files source/lang/doc_id."""
+    said = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+    n = len(TEMPLATES)
+    return f"""with t(part, name, statement) as (values {said}),
+ttf as (select part, name, token, count(*) as tf from (select part, name, unnest(regexp_extract_all(lower(statement), '{TOKEN}')) as token from t) group by all),
+idf as (select token, ln({1 + n} / (1 + count(*)::double)) + 1 as idf from ttf group by token),
+tw as (select part, name, token, tf * idf as w from ttf join idf using (token)),
+tn as (select part, sqrt(sum(w * w)) as norm from tw group by part),
+d as (select doc_id, source || '/' || lang || '/' || doc_id as path, coalesce(text, '') as text from documents),
+lines as (select doc_id, unnest(string_split(text, chr(10))) as line from d where regexp_matches(text, '{SPEAKS}')),
+units as (select distinct doc_id, unit from (select doc_id, unnest(regexp_split_to_array(line, '{SENTENCE}')) as unit from lines where regexp_matches(line, '{SPEAKS}')) where regexp_matches(unit, '{SPEAKS}')),
+texts as (select unit from units union select text from d where doc_id in (select doc_id from units)),
+tf as (select unit, token, count(*) as tf from (select unit, unnest(regexp_extract_all(lower(unit), '{TOKEN}')) as token from texts) group by all),
+w as (select unit, tf.token, tf * coalesce(idf, ln({1 + n}::double) + 1) as w from tf left join idf on idf.token = tf.token),
+norms as (select unit, sqrt(sum(w * w)) as norm from w group by unit),
+dots as (select unit, tw.name, tw.part, sum(w.w * tw.w / tn.norm) as dot from w join tw on tw.token = w.token join tn using (part) group by all),
+best as (select unit, name, score from (select unit, name, round(dot / norm, 6) as score, row_number() over (partition by unit order by round(dot / norm, 6) desc, name) as k from dots join norms using (unit)) where k = 1),
+own as (select doc_id, name, score from (select doc_id, name, score, row_number() over (partition by doc_id order by score desc, name) as k from units join best using (unit) where score >= {LEAST}) where k = 1),
+standing as (select regexp_extract(path, '^(.*)/[^/]*$', 1) as dir, name, score from d join best on best.unit = d.text where doc_id in (select doc_id from units) and score >= {LEAST_WHOLE}),
+by_dir as (select dir, name from (select dir, name, row_number() over (partition by dir order by score desc, name) as k from standing) where k = 1),
+dirs as (select distinct regexp_extract(path, '^(.*)/[^/]*$', 1) as dir from d),
+nearest as (select dir, licence_dir, name from (select dirs.dir, b.dir as licence_dir, b.name, row_number() over (partition by dirs.dir order by length(b.dir) desc) as k from dirs join by_dir b on dirs.dir = b.dir or b.dir = '' or starts_with(dirs.dir, b.dir || '/')) where k = 1)
+select d.doc_id, coalesce(own.name, n.name) as licence, own.score, case when own.name is not null then 'own' when n.name is not null then 'inherited' end as via, case when own.name is null then n.licence_dir end as licence_dir
+from d left join own using (doc_id) left join nearest n on n.dir = regexp_extract(d.path, '^(.*)/[^/]*$', 1)"""

@@ -126,3 +126,40 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES)
     table = F.broadcast(posterior(counts, len(rules)))  # 3 ** rules rows at most
     failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
     return found.join(table, "code").withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("p_good") >= 0.5)).drop("code")
+
+
+def oracle() -> str:
+    """DuckDB SQL of judge() over documents, the rounds of expectation-maximisation as a recursion."""
+    m = len(RULES)
+    score = lambda pi, a, b: (
+        f"1 / (1 + exp(-greatest(-500, least(500, ln({pi} / (1 - {pi})) + list_sum(list_transform(range(1, {m + 1}), lambda j: case p.v[j] when 1 then ln({a}[j] / (1 - {b}[j])) when -1 then ln((1 - {a}[j]) / {b}[j]) else 0 end))))))"
+    )
+    bound = lambda x: f"greatest(1e-6, least(1 - 1e-6, {x}))"
+    part = lambda vote, of: f"list_sum(list_transform(q, lambda p: case when p.v[j] {vote} then p.n * {of} else 0 end))"
+    total = "list_sum(list_transform(q, lambda p: p.n))"
+    estimates = (
+        f"{bound(f'list_sum(list_transform(q, lambda p: p.n * p.g)) / {total}')} as pi, "
+        f"list_transform(range(1, {m + 1}), lambda j: {bound(f'({part("= 1", "p.g")} + {GOOD_ON_GOOD * GOOD_WEIGHT} * {total}) / ({part("<> 0", "p.g")} + {GOOD_WEIGHT} * {total})')}) as a, "
+        f"list_transform(range(1, {m + 1}), lambda j: {bound(f'({part("= -1", "(1 - p.g)")} + {BAD_ON_BAD * BAD_WEIGHT} * {total}) / ({part("<> 0", "(1 - p.g)")} + {BAD_WEIGHT} * {total})')}) as b"
+    )
+    votes_sql = ", ".join(f"case when {bad} then -1 when {good} then 1 else 0 end" for _, bad, good in RULES)
+    plain = PLAIN.replace("'", "''")
+    return f"""with recursive d as (select row_number() over () as i, doc_id, coalesce(text, '') as text from documents),
+w as (select i, doc_id, text, list_filter(regexp_split_to_array(text, '{SPACES}'), lambda x: x <> '') as words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from d),
+grams as (select i, unnest(range(1, len(words) - 3)) as o, words from w where len(words) >= 5),
+named as (select i, o, array_to_string(list_slice(words, o, o + 4), chr(32)) as g from grams),
+often as (select i, g from named group by all having count(*) > 1),
+covered as (select i, count(distinct p) as n from (select named.i, unnest(range(o, o + 5)) as p from named join often on often.i = named.i and often.g = named.g) group by i),
+s as (select w.i, doc_id, len(words)::bigint as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::bigint as n_symbols,
+  (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(covered.n, 0)::bigint as n_repeat_words, len(lines) as n_lines, length(regexp_replace(text, '[^A-Z]+', '', 'g')) as n_capitals,
+  (length(text) - length(replace(text, '!!', ''))) // 2 as n_exclaims, length(text) - length(replace(text, '.', '')) as n_stops, len(list_filter(words, lambda x: regexp_matches(x, '{plain}'))) as n_plain
+  from w left join covered on covered.i = w.i),
+voted as (select *, [{votes_sql}] as v from s),
+pats as materialized (select list(struct_pack(v := v, n := n) order by v) as pats from (select v, count(*)::double as n from voted group by v)),
+em(r, pi, a, b) as (
+  select 0, {estimates} from (select list_transform(pats, lambda p: struct_pack(v := p.v, n := p.n, g := case when list_contains(p.v, -1) then 0.05 else 0.95 end)) as q from pats)
+  union all
+  select r + 1, {estimates} from (select r, list_transform(pats.pats, lambda p: struct_pack(v := p.v, n := p.n, g := {score('pi', 'a', 'b')})) as q from em, pats where r < {ROUNDS})),
+fit as (select unnest(list_transform(pats.pats, lambda p: struct_pack(v := p.v, p_good := {score('pi', 'a', 'b')}))) as x from em, pats where r = {ROUNDS})
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed, not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and x.p_good >= 0.5 as kept
+from voted join fit on fit.x.v = voted.v"""

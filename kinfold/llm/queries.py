@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": urls.ORACLE}
+    return {"op1_quality_rules": quality.oracle(), "op2_url_filters": urls.ORACLE, "op10_license_scans": licences.oracle()}
