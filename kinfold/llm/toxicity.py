@@ -44,8 +44,8 @@ SYMBOLS = 28
 #: What a written sign may stand for, fixed values.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t"}
 WILD, GAPS = "aeiou", " .-_*"
-#: Log costs: a sign read as a letter, a mask as nothing, a sign as nothing, either as a gap; a separator dropped; a drawn-out letter dropped. EMIT is added for each letter read, so that readings of different lengths compare.
-AS_LETTER, AS_WILD, AS_NOTHING, AS_GAP, DROP_GAP, DROP_REPEAT, EMIT = -0.5, -1.5, -3.0, -1.0, -0.3, -1.0, 2.2
+#: Log costs: a sign read as a letter, a mask as nothing, a sign as nothing, either as a gap; a separator as a gap, dropped; a drawn-out letter dropped. EMIT is added for each letter read, so that readings of different lengths compare.
+AS_LETTER, AS_WILD, AS_NOTHING, AS_BREAK, AS_GAP, DROP_GAP, DROP_REPEAT, EMIT = -0.5, -3.0, -3.0, -5.0, -1.0, -0.3, -1.0, 2.2
 INNER = re.compile(r"(?<=[a-z])[0134578@$!|+*._-]+(?=[a-z])|(?<![^\s\"'(])[@$0-9](?=[a-z]{2})")
 SPACED = re.compile(r"(?<![^\s\"'(])[a-z0134578@$!|+](?:[ .\-_*]{1,2}[a-z0134578@$!|+](?![^\s.\-_*,;:?\"')])){2,}")
 DRAWN = re.compile(r"([a-z])\1\1+")
@@ -101,9 +101,9 @@ class Reader:
     @staticmethod
     def _options(c: str, before: str) -> list[tuple[str, float]]:
         if c in LEET:
-            return [*((x, AS_LETTER) for x in LEET[c]), (" ", AS_GAP), *([("", AS_NOTHING)] if c in "!|+" else [])]
+            return [*((x, AS_LETTER) for x in LEET[c]), (" ", AS_BREAK), *([("", AS_NOTHING)] if c in "!|+" else [])]
         if c == "*":
-            return [("", AS_WILD), (" ", AS_GAP), *((x, AS_LETTER) for x in WILD)]
+            return [("", AS_WILD), (" ", AS_BREAK), *((x, AS_LETTER) for x in WILD)]
         if c in GAPS:
             return [("", DROP_GAP), (" ", AS_GAP)]
         if c.isalpha():
