@@ -20,7 +20,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 100, at_most: int | None = None) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node it can reach.
 
     Alternates the large-star and small-star steps (Kiveris et al., 2014), so a
@@ -29,12 +29,14 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     the end is one aggregate (row count and hash sum) of the checkpoint. A hub
     keeps one row for each of its edges, and joins on it can be split by AQE.
 
+    at_most: a bound on the number of edges, if known; small graphs then take few tasks.
+
     Self links, repeated links and links with a null end are allowed: a null end
     takes no part; a self link alone yields its node as its own component. No
     edges: no rows.
     """
     # cut first: the nodes and the first stars both read it, and the edges may be dear
-    pairs = cut_lineage(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null").distinct())
+    pairs = cut_lineage(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null").distinct(), at_most)
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     star = pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     mark = None
@@ -43,7 +45,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         if row["n"] == 0 or (row["n"], row["h"]) == mark:
             break
         mark = (row["n"], row["h"])
-        star = cut_lineage(_small_star(_large_star(star)))
+        star = cut_lineage(_small_star(_large_star(star)), row["n"])  # no round has more stars than the one before has edges
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(star.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

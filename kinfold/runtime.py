@@ -23,20 +23,30 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of a small frame."""
+#: Rows of small frames that one task writes, where their number is known: a file for each of hundreds of almost empty
+#: partitions costs more than its rows.
+ROWS_A_FILE = 50_000
+
+
+def _gathered(df: DataFrame, rows: int | None) -> DataFrame:
+    return df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+
+
+def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A reliable checkpoint of a small frame; rows: about how many it has, if known."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _gathered(df, rows).checkpoint(eager=True)
 
 
-def written_table(df: DataFrame) -> DataFrame:
+def written_table(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The frame written as Parquet to the shared folder and read again: for frames too large for checkpoint()'s row files.
 
-    Tables stay until release_tables() or until the folder's owner clears it.
+    rows: about how many small rows it has, if known. Tables stay until release_tables()
+    or until the folder's owner clears it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _gathered(df, rows).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,3 +55,14 @@ def release_tables(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of an Arrow batch between the JVM and a Python worker.
+BATCH = "2m"
+
+
+def bounded_batches(spark: SparkSession | None) -> None:
+    """Batches by bytes, where the session doesn't say how large they may be: the default counts rows, whatever their length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark is not None and spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH)
