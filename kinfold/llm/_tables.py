@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.runtime import bounded_batches
+
 #: ASCII white space that separates words.
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,16 +47,18 @@ def byte_of_letter() -> dict[str, int]:
 
 
 def frugal(worker: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The worker function, giving freed memory back to the system: workers are kept for later tasks, and their allocators would keep it too."""
+    """The worker function, fed in batches of bounded size and giving freed memory back to the system: workers are kept for later tasks, and their allocators would keep it too."""
+    bounded_batches(SparkSession.getActiveSession())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ctypes
 
         def fed() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for i, batch in enumerate(batches):
                 yield batch
                 del batch
-                pa.default_memory_pool().release_unused()
+                if i % 8 == 7:
+                    pa.default_memory_pool().release_unused()
 
         yield from worker(fed())
         pa.default_memory_pool().release_unused()

@@ -232,8 +232,9 @@ def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     """(doc_id, k, fp) of every row, k a hash of the text; (fp, first) of every fingerprint: its class's first row as struct(no_id, doc_id, k)."""
     rows = two(docs, key, text).select("doc_id", F.xxhash64("text").alias("k"), "text")
     found = written_table(rows.mapInArrow(frugal(_fingerprints), "doc_id long, k long, fp long"))
-    unique = written_table(found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("least")))
-    classes = connected_components(links(unique, unique.count()), "a", "b").withColumnRenamed("node", "fp")
+    unique = written_table(found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("least")), found.count())
+    count = unique.count()
+    classes = connected_components(links(unique, count), "a", "b", at_most=len(BLOCKS) * count).withColumnRenamed("node", "fp")
     named = unique.join(classes, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     first = named.groupBy("component").agg(F.min("least").alias("first"))
     return found, named.join(first, "component").select("fp", "first")

@@ -279,7 +279,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """
     found = written_table(docs.mapInArrow(frugal(_scan), "doc_id long, k long, gram long, around long, pos int"))
     often = found.groupBy("gram").agg(F.count("*").alias("_n")).filter("_n > 1").select("gram")
-    places = written_table(found.join(often, "gram", "left_semi"))
+    places = written_table(found.join(often, "gram", "left_semi"), found.count())
     distinct = places.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k", "pos")).alias("at"))
     several = distinct.groupBy("gram").agg(F.count("*").alias("others")).filter("others > 1")
     asked = (
