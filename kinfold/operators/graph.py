@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.runtime import cut_lineage
+from kinfold.runtime import ROWS_A_FILE, cut_lineage
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _cut_if_many(df: DataFrame, rows: int) -> DataFrame:
+    """Both steps cut what they join: beside a plain shuffle of both sides, AQE can split a hub. What one task holds with ease needs no cut."""
+    return cut_lineage(df, rows) if rows > ROWS_A_FILE else df
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = _cut_if_many(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * rows)
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
+    least = _cut_if_many(edges.groupBy("u").agg(F.min("v").alias("m")), rows)
     hung = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -25,8 +30,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
 
     Alternates the large-star and small-star steps (Kiveris et al., 2014), so a
     component of any diameter is done in a logarithmic number of rounds. Every
-    round is pre-aggregated by key and cut by a reliable checkpoint; the test for
-    the end is one aggregate (row count and hash sum) of the checkpoint. A hub
+    round is pre-aggregated by key and cut by reliable checkpoints; the test for
+    the end is one aggregate (row count and hash sum) of the last. A hub
     keeps one row for each of its edges, and joins on it can be split by AQE.
 
     at_most: a bound on the number of edges, if known; small graphs then take few tasks.
@@ -45,7 +50,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         if row["n"] == 0 or (row["n"], row["h"]) == mark:
             break
         mark = (row["n"], row["h"])
-        star = cut_lineage(_small_star(_large_star(star)), row["n"])  # no round has more stars than the one before has edges
+        n = 2 * row["n"]  # a step makes no more than an edge for each edge, and one for each node
+        star = cut_lineage(_small_star(_cut_if_many(_large_star(star, n), n), n), n)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(star.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.exprs import set_join, yes_no
+from kinfold.runtime import written_table
 
 
 def exact_components(items: DataFrame, item: str, content: str, sets: Sequence[str] = (), source: str = "source") -> DataFrame:
@@ -27,17 +28,24 @@ def missing_content(items: DataFrame, content: str) -> DataFrame:
     return items.filter(F.col(content).isNull() | (F.col(content) == "")).agg(F.count("*").alias("n_without_content"))
 
 
-def numbered(table: DataFrame, key: str, prefix: str, name: str) -> DataFrame:
-    """The table with ids PREFIX000001, ... in the order of a unique key.
+def ranked(table: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """The table with each row's place (from 1) in a total order that ends in a unique key.
 
-    Positions come from counts of range partitions, so no task holds all rows.
+    Rows are sorted in ranges, one task each, and a range's rows count on from those of
+    the ranges before it, which are a row each: no task holds all rows. The ranges are
+    written once, since a second run could cut them elsewhere.
     """
-    # rows of a range partition are numbered there; the partitions' counts are one row each
-    spread = table.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id())
-    spread = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    counts = spread.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_b", F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).drop("_c")
-    return spread.join(F.broadcast(before), "_p").withColumn(name, F.format_string(f"{prefix}%06d", F.coalesce("_b", F.lit(0)) + F.col("_n"))).drop("_p", "_n", "_b")
+    ranges = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = written_table(table.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = spread.groupBy(part.alias("_p")).agg(F.count("*").alias("_c"))
+    before = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return spread.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + place + 1).drop("_p", "_m", "_b")
+
+
+def numbered(table: DataFrame, key: str, prefix: str, name: str) -> DataFrame:
+    """The table with ids PREFIX000001, ... in the order of a unique key."""
+    return ranked(table, [F.col(key).asc()], "_rank").withColumn(name, F.format_string(f"{prefix}%06d", "_rank")).drop("_rank")
 
 
 def members(items: DataFrame, components: DataFrame, content: str) -> DataFrame:

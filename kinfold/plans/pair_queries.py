@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import exprs as X
 from kinfold.operators import candidates as C
 from kinfold.operators import graph as R
+from kinfold.operators import groups as G
 from kinfold.operators import units as U
 from kinfold.plans.views import COMPONENTS, EDGES, EVIDENCE_PAIRS, LEVELS, TOP, edges, evidence_pairs, split_of, table
 
@@ -166,7 +167,8 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _related(spark, sf_dir).select("item_a", "item_b", F.col("relation").isin(*X.DERIVATIVE).cast("int").alias("hit"))
     j = g.join(r, ["item_a", "item_b"])
     order = [F.desc("s"), F.asc("item_a"), F.asc("item_b")]
-    return j.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(1)))).withColumn("tier_rank", F.row_number().over(Window.partitionBy("tier").orderBy(*order))).withColumn("tier_n", F.count("*").over(Window.partitionBy("tier")))
+    j = G.ranked(j, order)
+    return j.withColumn("n", F.lit(j.count())).withColumn("tier_rank", F.row_number().over(Window.partitionBy("tier").orderBy(*order))).withColumn("tier_n", F.count("*").over(Window.partitionBy("tier")))
 
 
 def yield_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,9 +236,9 @@ def ambiguity_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incremental_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges in the order of similarity that join two components, with the count of merges so far."""
-    e = edges(spark, sf_dir).filter(F.col("similarity") >= 0.35).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "item_a", "item_b")))
-    m = R.merging_edges(e, "item_a", "item_b", "rank")
-    return m.select("rank", "item_a", "item_b", "relation", F.row_number().over(Window.orderBy("rank")).alias("merges_so_far"))
+    e = G.ranked(edges(spark, sf_dir).filter(F.col("similarity") >= 0.35), [F.desc("similarity"), F.asc("item_a"), F.asc("item_b")])
+    m = R.merging_edges(e, "item_a", "item_b", "rank").select("rank", "item_a", "item_b", "relation")
+    return G.ranked(m, [F.asc("rank")], "merges_so_far")
 
 
 def bridge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
