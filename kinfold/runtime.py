@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows of small frames that one task writes, where their number is known: a file for each of hundreds of almost empty
 #: partitions costs more than its rows.
-ROWS_A_FILE = 50_000
+ROWS_A_FILE = 1_000_000
 
 
 def _gathered(df: DataFrame, rows: int | None) -> DataFrame:
