@@ -278,10 +278,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
     whole: the same surroundings occur elsewhere, so all of them are a repeat.
     """
     found = written_table(docs.mapInArrow(frugal(_scan), "doc_id long, k long, gram long, around long, pos int"))
-    often = found.groupBy("gram").agg(F.count("*").alias("_n")).filter("_n > 1").select("gram")
-    places = written_table(found.join(often, "gram", "left_semi"), found.count())
-    distinct = places.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k", "pos")).alias("at"))
-    several = distinct.groupBy("gram").agg(F.count("*").alias("others")).filter("others > 1")
+    # small sides of joins are tables of their own: beside a plain shuffle of both sides, a hot gram can be split
+    n = found.count()
+    often = written_table(found.groupBy("gram").agg(F.count("*").alias("_n")).filter("_n > 1").select("gram"), n)
+    places = written_table(found.join(often, "gram", "left_semi"), n)
+    distinct = written_table(places.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k", "pos")).alias("at")), places.count())
+    several = written_table(distinct.groupBy("gram").agg(F.count("*").alias("others")).filter("others > 1"), distinct.count())
     asked = (
         distinct.join(several, "gram")
         .select(F.col("at.doc_id").alias("a_id"), F.col("at.k").alias("a_k"), F.struct(F.col("at.pos").alias("pos"), "gram", "around", "others").alias("place"))
@@ -292,7 +294,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
     met = around.repartition("group").sortWithinPartitions("group").mapInArrow(frugal(_meet), "gram long, around long, found array<struct<repeat: long, l: int, r: int>>")
     met = met.groupBy("gram", "around").agg(F.flatten(F.collect_list("found")).alias("found"))
     whole = distinct.filter("n > 1").select("gram", "around", F.lit(True).alias("whole"))
-    return places.join(met.join(whole, ["gram", "around"], "full_outer"), ["gram", "around"]).select("doc_id", "k", "pos", "found", F.coalesce("whole", F.lit(False)).alias("whole"))
+    shared = written_table(met.join(whole, ["gram", "around"], "full_outer"), distinct.count())
+    return places.join(shared, ["gram", "around"]).select("doc_id", "k", "pos", "found", F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
