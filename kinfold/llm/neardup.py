@@ -235,8 +235,9 @@ def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     unique = written_table(found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("least")), found.count())
     count = unique.count()
     classes = connected_components(links(unique, count), "a", "b", at_most=len(BLOCKS) * count).withColumnRenamed("node", "fp")
-    named = unique.join(classes, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    first = named.groupBy("component").agg(F.min("least").alias("first"))
+    # tables of their own, so that a class that holds a third of all fingerprints is split where it is joined
+    named = written_table(unique.join(classes, "fp", "left").withColumn("component", F.coalesce("component", "fp")), count)
+    first = written_table(named.groupBy("component").agg(F.min("least").alias("first")), count)
     return found, named.join(first, "component").select("fp", "first")
 
 
