@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.exprs import DERIVATIVE, SAME_SCENE, draw, hamming, pair_key
+from kinfold.operators.groups import ranked
 
 
 def exact_positives(items: DataFrame, item: str, content: str, source: str, limit: int, seed: int = 0) -> DataFrame:
@@ -97,4 +98,4 @@ def task_manifest(files: DataFrame, name: str, key: str) -> DataFrame:
     again = F.row_number().over(Window.partitionBy("_slug").orderBy(key))
     slugged = files.withColumn("_slug", slug(name)).withColumn("_n", again)
     unique = F.when(F.col("_n") == 1, F.col("_slug")).otherwise(F.concat_ws("-", "_slug", F.col("_n").cast("string")))
-    return slugged.withColumn("slug", unique).withColumn("task_id", F.row_number().over(Window.orderBy(key))).drop("_slug", "_n")
+    return ranked(slugged.withColumn("slug", unique), [F.col(key).asc()], "task_id").drop("_slug", "_n")
