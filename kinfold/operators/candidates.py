@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators.groups import ranked
+
 #: Vectors in a block of the exact top-k join.
 BLOCK = 4096
 
@@ -140,7 +142,7 @@ def shortlist(pairs: DataFrame, quotas: Sequence[tuple[str, int]], total: int, d
     order: the input is a list of pairs that gates have already bounded (a reviewers'
     queue), and only its keys and flags are sent.
     """
-    ranked = pairs.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    placed = ranked(pairs, order, "place")
     names = [name for name, _ in quotas]
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
@@ -162,4 +164,4 @@ def shortlist(pairs: DataFrame, quotas: Sequence[tuple[str, int]], total: int, d
         return keep[["item_a", "item_b"]].assign(chosen_as=keep["place"].map(chosen), place=range(1, len(keep) + 1))
 
     kinds = dict(pairs.dtypes)
-    return ranked.select("item_a", "item_b", *names, "place", F.lit(1).alias("all")).groupBy("all").applyInPandas(choose, f"item_a {kinds['item_a']}, item_b {kinds['item_b']}, chosen_as string, place int")
+    return placed.select("item_a", "item_b", *names, "place", F.lit(1).alias("all")).groupBy("all").applyInPandas(choose, f"item_a {kinds['item_a']}, item_b {kinds['item_b']}, chosen_as string, place int")
