@@ -1,20 +1,23 @@
 """SimHash near-duplicates by vantage-point trees over fingerprints.
 
-Two fingerprints that differ in at most RADIUS of 64 bits differ in at most one
-bit of one of three blocks of bits. On a block the number of differing bits is a
-metric of its own, and one in which a radius of 1 prunes: over whole fingerprints
-nearly every branch of a vantage-point tree lies within RADIUS of the boundary,
-since distances crowd around 32. So there is a tree for each block. Its top levels
-come from a bounded sample and only route: a fingerprint is stored in one shard, by
-its distances to the vantage points, and queries each shard that the triangle
-inequality doesn't exclude, which are its own and those it overlaps at a boundary.
-Within a shard the tree goes on down to small leaves, where whole fingerprints are
-compared. Every pair within RADIUS meets in one of the three trees, so the links
-are exact.
-
-Equal fingerprints are one before anything is routed, and a shard returns a
-spanning forest of the links it finds, at most one link for each fingerprint in it:
-a group of near copies never becomes all its pairs.
+Two fingerprints that differ in at most r of 64 bits differ in at most one bit of one
+of r // 2 + 1 blocks of bits (three for 4 bits). On a block the number of differing
+bits is a metric of its own, and one in which a radius of 1 prunes: over whole
+fingerprints nearly every branch of a vantage-point tree lies within r of the boundary,
+since distances crowd around 32. So there is a tree for each block. Its top levels come
+from a bounded sample and only route: a fingerprint is stored in one shard, by its
+distances to the vantage points, and of two that a boundary parts one queries the
+shards on the other side that the triangle inequality doesn't exclude. Within a shard
+the tree goes on down to small leaves, where whole fingerprints are compared. Every
+pair within r meets in one of the trees, so the links are exact.
+
+Equal fingerprints are one before anything is routed, and a shard returns a spanning
+forest of the links it finds, at most one link for each fingerprint in it: a group of
+near copies never becomes all its pairs.
+
+near_duplicates() links fingerprints by distance alone. one_of_each() is for texts
+alike to 0.8 in their five-word shingles: it searches a wider radius, and a pair's
+sketches, which travel with the fingerprints, must agree before it is linked.
 
 Defined results: null, empty and blank texts have no words, hence fingerprint zero,
 and are linked with each other like any others. Repeated rows are judged row by row.
@@ -37,33 +40,76 @@ from kinfold.operators.graph import connected_components
 from kinfold.runtime import written_table
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-#: Masks of the blocks: a pair within 4 has a block with at most 4 // 3 = 1 differing bits.
-BLOCKS = ((1 << 22) - 1, ((1 << 21) - 1) << 22, ((1 << 21) - 1) << 43)
+
+
+def blocks(radius: int) -> list[int]:
+    """Masks of radius // 2 + 1 blocks of 64 bits: a pair within the radius has a block with at most one differing bit."""
+    n = radius // 2 + 1
+    cuts = [64 * i // n for i in range(n + 1)]
+    return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+#: For one_of_each: fingerprints of texts whose five-word shingles are alike to 0.8 differ in at most so many bits but for a few
+#: in a hundred pairs; what is found within it is verified on sketches of SKETCH bytes, which must agree in SURE of them (an
+#: estimate of 0.8 less one standard deviation).
+WIDE, SKETCH, SURE = 12, 128, 0.765
 #: Fingerprints sampled for the routing levels; stored in a shard on average; compared at once in a leaf.
 SAMPLE, SHARD, LEAF = 8192, 50_000, 1 << 18
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str) -> int:
+def shingles(text: str) -> np.ndarray:
+    """Hashes of the four-word shingles in their order; of all words if there are fewer; none without words."""
     words = text.encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     k = min(SHINGLE, len(words))
     starts = [0, *(ends[: len(words) - k] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], "<u8")
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     votes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """One byte for each of SKETCH bins of the five-word shingles' hashes (two neighbouring four-word shingles make one): of its
+    least hash, an empty bin's from the next one that isn't. Equal bytes estimate the share of common shingles."""
+    if not len(hashes):
+        return bytes(SKETCH)
+    five = hashes if len(hashes) == 1 else hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
+    five = (five ^ (five >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    five = np.sort(five ^ (five >> np.uint64(32)))
+    starts = np.arange(SKETCH, dtype=np.uint64) << np.uint64(57)
+    at = np.searchsorted(five, starts)
+    # an empty bin's search ends at the least hash of the next bin that has one; past the end, at the first of all
+    least = five[at % len(five)]
+    away = (least >> np.uint64(57)) - np.arange(SKETCH, dtype=np.uint64)
+    mixed = (least + away * np.uint64(0x94D049BB133111EB)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, k, text -> doc_id, k, fp."""
     for batch in batches:
-        found = np.array([fingerprint(x) for x in texts_of(batch.column(2))], np.uint64)
+        found = np.array([fingerprint(shingles(x)) for x in texts_of(batch.column(2))], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "k", "fp"])
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _fingerprints, with the sketch."""
+    for batch in batches:
+        both = [(fingerprint(h), sketch(h)) for h in map(shingles, texts_of(batch.column(2)))]
+        fps = np.array([f for f, _ in both], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), pa.array([s for _, s in both], pa.binary())], names=["doc_id", "k", "fp", "sketch"])
+
+
 def _differ(a: np.ndarray, b, mask: int) -> np.ndarray:
     return np.bitwise_count((a ^ b) & np.uint64(mask))
 
@@ -179,77 +225,139 @@ def search(stored: np.ndarray, asking: np.ndarray, mask: int, forest: Forest, ra
         _leaf(stored, asking, forest, radius)
 
 
-def _in_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """shard, fp, stored in the order of shard -> a, b: each shard's spanning forest."""
-    def solve(shard: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        fps, own = np.concatenate([p for p, _ in parts]), np.concatenate([s for _, s in parts])
-        forest = Forest()
-        search(fps[own], fps[~own], BLOCKS[shard % len(BLOCKS)], forest)
-        links = np.array(forest.links, np.uint64).reshape(-1, 2)
-        for at in range(0, len(links), 50_000):
-            part = links[at : at + 50_000].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
+def _verified_leaf(stored: np.ndarray, asking: np.ndarray, fps: np.ndarray, sketches: np.ndarray, forest: Forest, radius: int) -> None:
+    """As _leaf for places in fps, a link needing sketches that agree. Classes that have been joined are not compared again."""
+    every = np.concatenate([stored, asking])
+    own, least = fps[every], SURE * SKETCH
+    step = max(1, 4 * LEAF // len(every))
+    classes = np.arange(len(every))
+    for start in range(0, len(stored), step):
+        near = np.bitwise_count(own[start : min(start + step, len(stored)), None] ^ own[None, :]) <= radius
+        for i in np.flatnonzero(near.sum(1) > 1) + start:
+            others = np.flatnonzero(near[i - start] & (classes != classes[i]))
+            if not len(others):
+                continue
+            others = others[(sketches[every[others]] == sketches[every[i]]).sum(1) >= least]
+            for j in others:
+                if classes[j] != classes[i]:
+                    forest.join(int(every[i]), int(every[j]))
+                    classes[classes == classes[j]] = classes[i]
 
-    current, parts = None, []
-    for batch in batches:
-        shards = batch.column(0).to_numpy()
-        fps = batch.column(1).to_numpy().view(np.uint64)
-        own = batch.column(2).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
+
+def verified_search(fps: np.ndarray, sketches: np.ndarray, own: np.ndarray, mask: int, forest: Forest, radius: int) -> None:
+    """As search, over places in fps."""
+    work = [(np.flatnonzero(own), np.flatnonzero(~own))]
+    while work:
+        stored, asking = work.pop()
+        if not len(stored):
+            continue
+        if len(stored) * (len(stored) + len(asking)) > LEAF and len(stored) > 32:
+            vantage = fps[stored[len(stored) // 2]]
+            far, off = _differ(fps[stored], vantage, mask), _differ(fps[asking], vantage, mask)
+            bound = int(np.median(far))
+            if bound >= far.max():
+                bound = int(far.max()) - 1
+            if bound >= 0:
+                work.append((stored[far <= bound], asking[off <= bound + 1]))
+                work.append((stored[far > bound], np.concatenate([asking[off >= bound], stored[far == bound]])))
                 continue
-            if current is not None and shards[a] != current:
-                yield from solve(current, parts)
-                parts = []
-            current = int(shards[a])
-            parts.append((fps[a:b].copy(), own[a:b].copy()))
-    if parts:
-        yield from solve(current, parts)
+        _verified_leaf(stored, asking, fps, sketches, forest, radius)
+
 
+def _solver(radius: int, verified: bool):
+    """The worker that turns shards, in their order, into links: shard, fp, stored[, node, sketch] -> a, b, each shard's spanning forest."""
+    masks = blocks(radius)
 
-def links(unique: DataFrame, count: int) -> DataFrame:
-    """(a, b): links that connect exactly the fingerprints (column fp, distinct) that a chain of pairs within RADIUS connects."""
+    def solve(shard: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        fps, own = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        forest = Forest()
+        if verified:
+            nodes, sketches = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+            verified_search(fps, sketches, own, masks[shard % len(masks)], forest, radius)
+            links = nodes[np.array(forest.links, np.int64).reshape(-1, 2)]
+        else:
+            search(fps[own], fps[~own], masks[shard % len(masks)], forest, radius)
+            links = np.array(forest.links, np.uint64).reshape(-1, 2).view(np.int64)
+        for at in range(0, len(links), 50_000):
+            part = links[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts = None, []
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            columns = [batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)]
+            if verified:
+                columns += [batch.column(3).to_numpy(), np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, SKETCH)]
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if current is not None and shards[a] != current:
+                    yield from solve(current, parts)
+                    parts = []
+                current = int(shards[a])
+                parts.append(tuple(c[a:b].copy() for c in columns))
+        if parts:
+            yield from solve(current, parts)
+
+    return run
+
+
+def links(unique: DataFrame, count: int, radius: int = RADIUS, verified: bool = False) -> DataFrame:
+    """(a, b): links that connect what chains of pairs within the radius connect.
+
+    Of fingerprints (column fp, distinct); verified: of nodes (columns fp, node, sketch), a pair's sketches having to agree.
+    """
     # about 4 * SAMPLE are left to choose from, so that no task sends more than its share of them
-    thin = unique.filter(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(max(1, count // (4 * SAMPLE)))) == 0)
+    thin = unique.select("fp").filter(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(max(1, count // (4 * SAMPLE)))) == 0)
     sample = [r["fp"] for r in thin.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
     levels = max(0, int(np.ceil(np.log2(max(1, count) / SHARD))))
     seen = np.array(sample, np.int64).view(np.uint64)
-    routers = [Router(seen, mask, min(levels, 40)) for mask in BLOCKS]
+    routers = [Router(seen, mask, min(levels, 40)) for mask in blocks(radius)]
+    more = ["node", "sketch"] if verified else []
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
             for tree, router in enumerate(routers):
                 for shard, rows, stored in router.route(fps):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), len(BLOCKS) * shard + tree, np.int64)), pa.array(fps[rows].view(np.int64)), pa.array(stored)], names=["shard", "fp", "stored"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), len(routers) * shard + tree, np.int64)), pa.array(fps[rows].view(np.int64)), pa.array(stored), *[c.take(pa.array(rows)) for c in batch.columns[1:]]], names=["shard", "fp", "stored", *more])
 
-    dealt = unique.select("fp").mapInArrow(frugal(route), "shard long, fp long, stored boolean")
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(frugal(_in_shards), "a long, b long").distinct()
+    dealt = unique.select("fp", *more).mapInArrow(frugal(route), "shard long, fp long, stored boolean" + ", node long, sketch binary" * verified)
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(frugal(_solver(radius, verified)), "a long, b long").distinct()
 
 
-def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, k, fp) of every row, k a hash of the text; (fp, first) of every fingerprint: its class's first row as struct(no_id, doc_id, k)."""
+def _classes(docs: DataFrame, key: str, text: str, radius: int, verified: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k, fp, node) of every row, k a hash of the text; (node, first) of every node: its class's first row as
+    struct(no_id, doc_id, k). Nodes are the fingerprints; verified: pairs of fingerprint and sketch."""
     rows = two(docs, key, text).select("doc_id", F.xxhash64("text").alias("k"), "text")
-    found = written_table(rows.mapInArrow(frugal(_fingerprints), "doc_id long, k long, fp long"))
-    unique = written_table(found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("least")), found.count())
+    if verified:
+        found = rows.mapInArrow(frugal(_sketches), "doc_id long, k long, fp long, sketch binary").withColumn("node", F.xxhash64("fp", "sketch"))
+    else:
+        found = rows.mapInArrow(frugal(_fingerprints), "doc_id long, k long, fp long").withColumn("node", F.col("fp"))
+    found = written_table(found)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("least")
+    more = [F.min("fp").alias("fp"), *([F.min("sketch").alias("sketch")] if verified else [])]
+    unique = written_table(found.groupBy("node").agg(first, *more), found.count())
     count = unique.count()
-    classes = connected_components(links(unique, count), "a", "b", at_most=len(BLOCKS) * count).withColumnRenamed("node", "fp")
+    classes = connected_components(links(unique, count, radius, verified), "a", "b", at_most=3 * count)
     # tables of their own, so that a class that holds a third of all fingerprints is split where it is joined
-    named = written_table(unique.join(classes, "fp", "left").withColumn("component", F.coalesce("component", "fp")), count)
-    first = written_table(named.groupBy("component").agg(F.min("least").alias("first")), count)
-    return found, named.join(first, "component").select("fp", "first")
+    named = written_table(unique.select("node", "least").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")), count)
+    least = written_table(named.groupBy("component").agg(F.min("least").alias("first")), count)
+    return found, named.join(least, "component").select("node", "first")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row."""
-    found, classes = _classes(docs, key, text)
-    return found.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+    found, classes = _classes(docs, key, text, radius, verified=False)
+    return found.join(classes, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of docs, with all its columns, for each class: that with the smallest id (null ids last, then by a hash of the text)."""
-    _, classes = _classes(docs, key, text)
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = WIDE) -> DataFrame:
+    """One row of docs, with all its columns, for each class of texts alike to 0.8 in their five-word shingles: that with the
+    smallest id (null ids last, then by a hash of the text). Pairs are searched within the radius and verified on sketches."""
+    _, classes = _classes(docs, key, text, radius, verified=True)
     first = classes.select(F.col("first.doc_id").alias("_id"), F.col("first.k").alias("_k")).distinct()
     marked = docs.withColumn("_key", F.col(key).cast("long")).withColumn("_text", F.xxhash64(F.col(text).cast("string")))
     return marked.join(first, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_k")), "left_semi").dropDuplicates(["_key", "_text"]).drop("_key", "_text")
