@@ -40,12 +40,72 @@ def test_classes_equal_brute_force(spark):
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == sorted((str(doc), str(least.get(root(i)))) for i, (doc, _) in enumerate(rows))
 
 
+def alike(a, b):
+    """Jaccard similarity of five-word shingles (of all words, if there are fewer)."""
+    sets = []
+    for text in (a, b):
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def copies_are_gone(before, after):
+    """Of texts alike to 0.85 or more one is kept, at most; texts that are like no other are all kept."""
+    kept = [t for _, t in after]
+    assert all(alike(a, b) < 0.85 for i, a in enumerate(kept) for b in kept[:i])
+    for i, (doc, t) in enumerate(before):
+        if all(alike(t, other) < 0.5 for j, (_, other) in enumerate(before) if i != j):
+            assert (doc, t) in after
+
+
+def near_copies(seed=4, n=40):
+    r = random.Random(seed)
+    words = [f"w{r.randrange(4000)}" for _ in range(200)]
+    rows = [(7000, " ".join(words))]
+    for i in range(1, n):
+        changed = list(words)
+        for _ in range(r.choice([1, 2, 3])):
+            changed[r.randrange(200)] = f"new{i}"
+        rows.append((7000 + i, " ".join(changed)))
+    return rows
+
+
 def test_one_of_each_class(spark):
-    docs = frame(spark, corpus())
+    rows = [*corpus(), *near_copies()]
+    docs = frame(spark, rows)
     kept = neardup.one_of_each(docs)
     assert kept.columns == docs.columns
-    classes = {str(r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
-    assert len(classes) <= kept.count() <= len(classes) + 1  # a class without ids besides
+    copies_are_gone(rows, [(r["doc_id"], r["text"]) for r in kept.collect()])
+
+
+def test_a_dense_leaf_is_searched_whole(monkeypatch):
+    monkeypatch.setattr(neardup, "LEAF", 1 << 10)
+    hashes = [neardup.shingles(t) for _, t in near_copies(5, 120)]
+    fps, sketches = np.array([neardup.fingerprint(h) for h in hashes], np.uint64), np.array([list(neardup.sketch(h)) for h in hashes], np.uint8)
+    found, truth = neardup.Forest(), neardup.Forest()
+    for tree, mask in enumerate(neardup.blocks(12)):
+        for _, rows, stored in neardup.Router(fps[:60], mask, 2).route(fps):
+            part = neardup.Forest()
+            neardup.verified_search(fps[rows], sketches[rows], stored, mask, part, 12)
+            for a, b in part.links:
+                found.join(int(rows[a]), int(rows[b]))
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(int(fps[i] ^ fps[j])).count("1") <= 12 and (sketches[i] == sketches[j]).sum() >= neardup.SURE * neardup.SKETCH:
+                truth.join(i, j)
+    assert all(found.root(i) == truth.root(i) for i in range(len(fps)))
+
+
+def test_sketches_estimate_similarity():
+    r = random.Random(8)
+    words = [f"w{r.randrange(5000)}" for _ in range(600)]
+    for changes in (0, 5, 20, 60):
+        other = list(words)
+        for _ in range(changes):
+            other[r.randrange(600)] = f"n{r.random()}"
+        a, b = (neardup.sketch(neardup.shingles(" ".join(x))) for x in (words, other))
+        same = sum(x == y for x, y in zip(a, b, strict=True)) / neardup.SKETCH
+        assert abs(same - alike(" ".join(words), " ".join(other))) < 0.16
 
 
 def test_the_trees_find_every_link(monkeypatch):
@@ -62,11 +122,11 @@ def test_the_trees_find_every_link(monkeypatch):
         fps = np.unique(np.array(values, np.uint64))
         r.shuffle(fps)
         found, truth = neardup.Forest(), neardup.Forest()
-        for tree, mask in enumerate(neardup.BLOCKS):
+        for tree, mask in enumerate(neardup.blocks(4)):
             stored_rows = 0
             for _, rows, stored in neardup.Router(fps[:200], mask, 4).route(fps):
                 part = neardup.Forest()
-                neardup.search(fps[rows][stored], fps[rows][~stored], neardup.BLOCKS[tree], part)
+                neardup.search(fps[rows][stored], fps[rows][~stored], mask, part)
                 stored_rows += int(stored.sum())
                 for a, b in part.links:
                     assert bin(a ^ b).count("1") <= 4
