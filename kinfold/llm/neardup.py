@@ -15,9 +15,12 @@ Equal fingerprints are one before anything is routed, and a shard returns a span
 forest of the links it finds, at most one link for each fingerprint in it: a group of
 near copies never becomes all its pairs.
 
-near_duplicates() links fingerprints by distance alone. one_of_each() is for texts
-alike to 0.8 in their five-word shingles: it searches a wider radius, and a pair's
-sketches, which travel with the fingerprints, must agree before it is linked.
+near_duplicates() links fingerprints by distance alone. one_of_each() links texts alike
+to ALIKE in their sets of five-word shingles, and only these: the trees over PRINTS
+independent fingerprints of a set find candidates within a wider radius, and the sets
+themselves decide on each. A first round decides on a spanning forest of each shard's
+candidates, closest first; a second one on every candidate whose ends the first has
+not brought into one class, so that no forest's choice can cost a link.
 
 Defined results: null, empty and blank texts have no words, hence fingerprint zero,
 and are linked with each other like any others. Repeated rows are judged row by row.
@@ -49,10 +52,11 @@ def blocks(radius: int) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-#: For one_of_each: fingerprints of texts whose five-word shingles are alike to 0.8 differ in at most so many bits but for a few
-#: in a hundred pairs; what is found within it is verified on sketches of SKETCH bytes, which must agree in SURE of them (an
-#: estimate of 0.8 less one standard deviation).
-WIDE, SKETCH, SURE = 12, 128, 0.765
+#: For one_of_each: the least Jaccard similarity of a link; fingerprints of a set, and the bits that a pair alike to ALIKE may
+#: differ in, in one of them at least (9.7 of 64 on average at 0.8, with a standard deviation of 2.9).
+ALIKE, PRINTS, WIDE = 0.8, 4, 12
+#: Bytes of a sketch and the share of them that verified_search() asks for.
+SKETCH, SURE = 128, 0.765
 #: Fingerprints sampled for the routing levels; stored in a shard on average; compared at once in a leaf.
 SAMPLE, SHARD, LEAF = 8192, 50_000, 1 << 18
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -78,14 +82,35 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fives(hashes: np.ndarray) -> np.ndarray:
+    """The set of five-word shingles, as sorted hashes: two neighbouring four-word shingles make one; a single one stays as it is."""
+    five = hashes if len(hashes) < 2 else hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
+    five = (five ^ (five >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(five ^ (five >> np.uint64(32)))
+
+
+def prints(five: np.ndarray) -> list[int]:
+    """PRINTS fingerprints of a set of shingles, each from hashes of their own."""
+    found = []
+    for i in range(PRINTS):
+        mixed = (five ^ np.uint64((0xD6E8FEB86659FD93 * (i + 1)) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        found.append(fingerprint(mixed ^ (mixed >> np.uint64(29))))
+    return found
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of sorted hashes; two empty ones are equal."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) + len(b) else 1.0
+
+
 def sketch(hashes: np.ndarray) -> bytes:
     """One byte for each of SKETCH bins of the five-word shingles' hashes (two neighbouring four-word shingles make one): of its
     least hash, an empty bin's from the next one that isn't. Equal bytes estimate the share of common shingles."""
     if not len(hashes):
         return bytes(SKETCH)
-    five = hashes if len(hashes) == 1 else hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
-    five = (five ^ (five >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    five = np.sort(five ^ (five >> np.uint64(32)))
+    five = fives(hashes)
     starts = np.arange(SKETCH, dtype=np.uint64) << np.uint64(57)
     at = np.searchsorted(five, starts)
     # an empty bin's search ends at the least hash of the next bin that has one; past the end, at the first of all
@@ -102,12 +127,26 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "k", "fp"])
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As _fingerprints, with the sketch."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, k, text -> doc_id, k, node (a hash of the set of five-word shingles), size of the set, fps."""
     for batch in batches:
-        both = [(fingerprint(h), sketch(h)) for h in map(shingles, texts_of(batch.column(2)))]
-        fps = np.array([f for f, _ in both], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), pa.array([s for _, s in both], pa.binary())], names=["doc_id", "k", "fp", "sketch"])
+        sets = [fives(shingles(x)) for x in texts_of(batch.column(2))]
+        nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+        fps = np.array([prints(x) for x in sets], np.uint64).reshape(-1, PRINTS).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(x) for x in sets], pa.int32()), pa.array(fps.tolist(), pa.list_(pa.int64()))], names=["doc_id", "k", "node", "size", "fps"])
+
+
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, text -> node, the set itself."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fives(shingles(x)).tobytes() for x in texts_of(batch.column(1))], pa.binary())], names=["node", "set"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b and both sets -> a, b of the pairs alike to ALIKE."""
+    for batch in batches:
+        sure = [similarity(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) >= ALIKE for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+        yield batch.select([0, 1]).filter(pa.array(sure, pa.bool_()))
 
 
 def _differ(a: np.ndarray, b, mask: int) -> np.ndarray:
@@ -244,8 +283,8 @@ def _verified_leaf(stored: np.ndarray, asking: np.ndarray, fps: np.ndarray, sket
                     classes[classes == classes[j]] = classes[i]
 
 
-def verified_search(fps: np.ndarray, sketches: np.ndarray, own: np.ndarray, mask: int, forest: Forest, radius: int) -> None:
-    """As search, over places in fps."""
+def leaves(fps: np.ndarray, own: np.ndarray, mask: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(stored, asking): the leaves of the tree that search() walks, as places in fps."""
     work = [(np.flatnonzero(own), np.flatnonzero(~own))]
     while work:
         stored, asking = work.pop()
@@ -261,34 +300,72 @@ def verified_search(fps: np.ndarray, sketches: np.ndarray, own: np.ndarray, mask
                 work.append((stored[far <= bound], asking[off <= bound + 1]))
                 work.append((stored[far > bound], np.concatenate([asking[off >= bound], stored[far == bound]])))
                 continue
+        yield stored, asking
+
+
+def verified_search(fps: np.ndarray, sketches: np.ndarray, own: np.ndarray, mask: int, forest: Forest, radius: int) -> None:
+    """As search, over places in fps."""
+    for stored, asking in leaves(fps, own, mask):
         _verified_leaf(stored, asking, fps, sketches, forest, radius)
 
 
-def _solver(radius: int, verified: bool):
-    """The worker that turns shards, in their order, into links: shard, fp, stored[, node, sketch] -> a, b, each shard's spanning forest."""
+def candidates(fps: np.ndarray, sizes: np.ndarray, classes: np.ndarray, own: np.ndarray, mask: int, radius: int, forest: Forest | None) -> Iterator[np.ndarray]:
+    """Pairs of places within the radius whose classes differ and whose sizes allow ALIKE: all of them, or those that join classes
+    of the forest, the closest of each block of rows first."""
+    for stored, asking in leaves(fps, own, mask):
+        every = np.concatenate([stored, asking])
+        step = max(1, 4 * LEAF // len(every))
+        if forest is not None:
+            joined = np.array([forest.root(x) for x in every.tolist()])
+        for at in range(0, len(stored), step):
+            some = stored[at : at + step, None]
+            far = np.bitwise_count(fps[some] ^ fps[every])
+            near = (far <= radius) & (classes[some] != classes[every])
+            # one after another among the stored: each pair once
+            near &= np.arange(at, at + len(some))[:, None] < np.arange(len(every))
+            if forest is not None:
+                near &= joined[at : at + len(some), None] != joined
+            i, j = np.nonzero(near)
+            far = far[i, j]
+            i, j = stored[i + at], every[j]
+            fit = np.minimum(sizes[i], sizes[j]) >= ALIKE * np.maximum(sizes[i], sizes[j]) - 1e-9
+            i, j, far = i[fit], j[fit], far[fit]
+            if forest is None:
+                yield np.c_[i, j]
+            elif len(i):
+                order, before = np.argsort(far, kind="stable"), len(forest.links)
+                for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                    forest.join(x, y)
+                if len(forest.links) > before:
+                    joined = np.array([forest.root(x) for x in every.tolist()])
+                    yield np.array(forest.links[before:], np.int64)
+
+
+def _solver(radius: int, wide: bool, spanning: bool):
+    """The worker that turns shards, in their order, into links: shard, fp, stored[, node, size, class] -> a, b, each shard's spanning
+    forest; wide: its candidates, or a spanning forest of them."""
     masks = blocks(radius)
 
     def solve(shard: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         fps, own = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        forest = Forest()
-        if verified:
-            nodes, sketches = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
-            verified_search(fps, sketches, own, masks[shard % len(masks)], forest, radius)
-            links = nodes[np.array(forest.links, np.int64).reshape(-1, 2)]
+        mask = masks[shard % len(masks)]
+        if wide:
+            nodes, sizes, classes = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
+            found = (np.sort(nodes[x], axis=1) for x in candidates(fps, sizes, classes, own, mask, radius, Forest() if spanning else None))
         else:
-            search(fps[own], fps[~own], masks[shard % len(masks)], forest, radius)
-            links = np.array(forest.links, np.uint64).reshape(-1, 2).view(np.int64)
-        for at in range(0, len(links), 50_000):
-            part = links[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["a", "b"])
+            forest = Forest()
+            search(fps[own], fps[~own], mask, forest, radius)
+            found = [np.array(forest.links, np.uint64).reshape(-1, 2).view(np.int64)]
+        for links in found:
+            for at in range(0, len(links), 50_000):
+                part = links[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts = None, []
         for batch in batches:
             shards = batch.column(0).to_numpy()
-            columns = [batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)]
-            if verified:
-                columns += [batch.column(3).to_numpy(), np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, SKETCH)]
+            columns = [batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False), *[c.to_numpy() for c in batch.columns[3:]]]
             cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
@@ -304,60 +381,97 @@ def _solver(radius: int, verified: bool):
     return run
 
 
-def links(unique: DataFrame, count: int, radius: int = RADIUS, verified: bool = False) -> DataFrame:
+def links(unique: DataFrame, count: int, radius: int = RADIUS, wide: bool = False, spanning: bool = True) -> DataFrame:
     """(a, b): links that connect what chains of pairs within the radius connect.
 
-    Of fingerprints (column fp, distinct); verified: of nodes (columns fp, node, sketch), a pair's sketches having to agree.
+    Of fingerprints (column fp, distinct); wide: of nodes (columns fps, node, size, class), pairs of different classes within
+    the radius in one of their fingerprints, whose sizes allow ALIKE; if not spanning, all of them.
     """
+    n = PRINTS if wide else 1
+    of = (lambda i: F.col("fps")[i]) if wide else (lambda i: F.col("fp"))
     # about 4 * SAMPLE are left to choose from, so that no task sends more than its share of them
-    thin = unique.select("fp").filter(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(max(1, count // (4 * SAMPLE)))) == 0)
-    sample = [r["fp"] for r in thin.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
+    thin = unique.select(of(0).alias("fp"), *([F.col("fps")] if wide else [])).filter(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(max(1, count // (4 * SAMPLE)))) == 0)
+    sample = [r["fps"] if wide else [r["fp"]] for r in thin.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
     levels = max(0, int(np.ceil(np.log2(max(1, count) / SHARD))))
-    seen = np.array(sample, np.int64).view(np.uint64)
-    routers = [Router(seen, mask, min(levels, 40)) for mask in blocks(radius)]
-    more = ["node", "sketch"] if verified else []
+    seen = np.array(sample, np.int64).reshape(-1, n).view(np.uint64)
+    masks = blocks(radius)
+    routers = [(i, Router(np.ascontiguousarray(seen[:, i]), mask, min(levels, 40))) for i in range(n) for mask in masks]
+    more = ["node", "size", "class"] if wide else []
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
-            for tree, router in enumerate(routers):
+            columns = [batch.column(i).to_numpy().view(np.uint64) for i in range(n)]
+            for tree, (of_print, router) in enumerate(routers):
+                fps = columns[of_print]
                 for shard, rows, stored in router.route(fps):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), len(routers) * shard + tree, np.int64)), pa.array(fps[rows].view(np.int64)), pa.array(stored), *[c.take(pa.array(rows)) for c in batch.columns[1:]]], names=["shard", "fp", "stored", *more])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), len(routers) * shard + tree, np.int64)), pa.array(fps[rows].view(np.int64)), pa.array(stored), *[c.take(pa.array(rows)) for c in batch.columns[n:]]], names=["shard", "fp", "stored", *more])
 
-    dealt = unique.select("fp", *more).mapInArrow(frugal(route), "shard long, fp long, stored boolean" + ", node long, sketch binary" * verified)
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(frugal(_solver(radius, verified)), "a long, b long").distinct()
+    dealt = unique.select(*[of(i).alias(f"fp{i}") for i in range(n)], *more).mapInArrow(frugal(route), "shard long, fp long, stored boolean" + ", node long, size int, class long" * wide)
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(frugal(_solver(radius, wide, spanning)), "a long, b long").distinct()
 
 
-def _classes(docs: DataFrame, key: str, text: str, radius: int, verified: bool) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, k, fp, node) of every row, k a hash of the text; (node, first) of every node: its class's first row as
-    struct(no_id, doc_id, k). Nodes are the fingerprints; verified: pairs of fingerprint and sketch."""
-    rows = two(docs, key, text).select("doc_id", F.xxhash64("text").alias("k"), "text")
-    if verified:
-        found = rows.mapInArrow(frugal(_sketches), "doc_id long, k long, fp long, sketch binary").withColumn("node", F.xxhash64("fp", "sketch"))
-    else:
-        found = rows.mapInArrow(frugal(_fingerprints), "doc_id long, k long, fp long").withColumn("node", F.col("fp"))
-    found = written_table(found)
+def _unique(found: DataFrame, *more: str) -> DataFrame:
+    """(node, least, more) of every node, least its first row as struct(no_id, doc_id, k)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("least")
-    more = [F.min("fp").alias("fp"), *([F.min("sketch").alias("sketch")] if verified else [])]
-    unique = written_table(found.groupBy("node").agg(first, *more), found.count())
-    count = unique.count()
-    classes = connected_components(links(unique, count, radius, verified), "a", "b", at_most=3 * count)
+    return written_table(found.groupBy("node").agg(first, *[F.min(c).alias(c) for c in more]), found.count())
+
+
+def _first_rows(unique: DataFrame, classes: DataFrame, count: int) -> DataFrame:
+    """(node, first) of every node: its class's first row."""
     # tables of their own, so that a class that holds a third of all fingerprints is split where it is joined
     named = written_table(unique.select("node", "least").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")), count)
     least = written_table(named.groupBy("component").agg(F.min("least").alias("first")), count)
-    return found, named.join(least, "component").select("node", "first")
+    return named.join(least, "component").select("node", "first")
+
+
+def _classes(docs: DataFrame, key: str, text: str, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k, fp, node) of every row, k a hash of the text and the node its fingerprint; (node, first) of every node."""
+    rows = two(docs, key, text).select("doc_id", F.xxhash64("text").alias("k"), "text")
+    found = written_table(rows.mapInArrow(frugal(_fingerprints), "doc_id long, k long, fp long").withColumn("node", F.col("fp")))
+    unique = _unique(found, "fp")
+    count = unique.count()
+    return found, _first_rows(unique, connected_components(links(unique, count, radius), "a", "b", at_most=3 * count), count)
+
+
+def _alike_classes(docs: DataFrame, key: str, text: str, radius: int) -> DataFrame:
+    """(node, first) of every set of five-word shingles, classes being linked by pairs of sets alike to ALIKE."""
+    rows = two(docs, key, text).select("doc_id", F.xxhash64("text").alias("k"), "text")
+    found = written_table(rows.mapInArrow(frugal(_sets), "doc_id long, k long, node long, size int, fps array<long>"))
+    unique = _unique(found, "size", "fps")
+    count = unique.count()
+    first = written_table(links(unique.withColumn("class", F.col("node")), count, radius, wide=True))
+    # only what has a candidate goes on: its set is made again from the text of its first row
+    ends = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
+    close = written_table(unique.join(ends, "node", "left_semi"), count)
+    wanted = close.select("node", F.coalesce("least.doc_id", F.lit(0)).alias("i"), F.col("least.no_id").alias("no"), F.col("least.k").alias("k"))
+    texts = rows.withColumn("i", F.coalesce("doc_id", F.lit(0))).withColumn("no", F.col("doc_id").isNull()).join(wanted, ["i", "no", "k"]).select("node", "text")
+    sets = written_table(texts.mapInArrow(frugal(_whole_sets), "node long, set binary").dropDuplicates(["node"]))
+
+    def sure(pairs: DataFrame) -> DataFrame:
+        with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a")
+        both = with_a.join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b").select("a", "b", "s", "t")
+        return written_table(both.mapInArrow(frugal(_alike), "a long, b long"))
+
+    linked = sure(first)
+    n = close.count()
+    named = connected_components(linked, "a", "b", at_most=linked.count()).withColumnRenamed("component", "class")
+    held = written_table(close.join(named, "node", "left").withColumn("class", F.coalesce("class", "node")), n)
+    rest = links(held, n, radius, wide=True, spanning=False).join(first, ["a", "b"], "left_anti")
+    every = linked.unionByName(sure(rest))
+    return _first_rows(unique, connected_components(every, "a", "b"), count)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row."""
-    found, classes = _classes(docs, key, text, radius, verified=False)
+    found, classes = _classes(docs, key, text, radius)
     return found.join(classes, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = WIDE) -> DataFrame:
-    """One row of docs, with all its columns, for each class of texts alike to 0.8 in their five-word shingles: that with the
-    smallest id (null ids last, then by a hash of the text). Pairs are searched within the radius and verified on sketches."""
-    _, classes = _classes(docs, key, text, radius, verified=True)
-    first = classes.select(F.col("first.doc_id").alias("_id"), F.col("first.k").alias("_k")).distinct()
-    marked = docs.withColumn("_key", F.col(key).cast("long")).withColumn("_text", F.xxhash64(F.col(text).cast("string")))
-    return marked.join(first, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_k")), "left_semi").dropDuplicates(["_key", "_text"]).drop("_key", "_text")
+    """One row of docs, with all its columns, for each class of texts alike to ALIKE in their five-word shingles: that with the
+    smallest id (null ids last, then by a hash of the text). Candidates are searched within the radius; the sets decide."""
+    first = _alike_classes(docs, key, text, radius).select(F.coalesce("first.doc_id", F.lit(0)).alias("_key"), F.col("first.no_id").alias("_no"), F.col("first.k").alias("_text")).distinct()
+    own = F.col(key).cast("long")
+    marked = docs.withColumn("_key", F.coalesce(own, F.lit(0))).withColumn("_no", own.isNull()).withColumn("_text", F.xxhash64(F.col(text).cast("string")))
+    # one dealing by these three serves the join and the repeated rows
+    return marked.join(first, ["_key", "_no", "_text"], "left_semi").dropDuplicates(["_key", "_no", "_text"]).drop("_key", "_no", "_text")

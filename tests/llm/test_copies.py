@@ -213,3 +213,48 @@ def test_digest_of_the_query(spark):
     rows = [(1, "é" * 10)]
     got = repeats.remove_repeats(frame(spark, rows)).select(F.sha2("kept", 256)).first()[0]
     assert got == hashlib.sha256(("é" * 10).encode()).hexdigest()
+
+
+def around(seed, lengths=(12, 20, 50, 100, 300), n=60):
+    """Pairs of texts, the second with replaced words or an added tail, alike to between 0.65 and 0.9."""
+    r = random.Random(seed)
+    pairs = []
+    while len(pairs) < n:
+        size = lengths[len(pairs) % len(lengths)]
+        words = [f"w{r.randrange(5000)}" for _ in range(size)]
+        other = list(words)
+        if r.random() < 0.5:
+            other += [f"n{r.randrange(9999)}" for _ in range(r.randint(1, max(2, size // 3)))]
+        else:
+            for _ in range(r.randint(1, max(1, size // 16))):
+                other[r.randrange(size)] = f"n{r.randrange(9999)}"
+        pair = " ".join(words), " ".join(other)
+        if 0.65 <= alike(*pair) < 0.9:
+            pairs.append(pair)
+    return pairs
+
+
+def test_fingerprints_lose_hardly_a_pair_alike_to_four_fifths():
+    pairs = [p for p in around(11, n=900) if 0.8 <= alike(*p) < 0.85]
+    prints = [[neardup.prints(neardup.fives(neardup.shingles(t))) for t in p] for p in pairs]
+    found = sum(min(bin(x ^ y).count("1") for x, y in zip(a, b, strict=True)) <= neardup.WIDE for a, b in prints)
+    assert len(pairs) > 150 and found >= 0.99 * len(pairs)
+
+
+@pytest.mark.parametrize("leaf", [1 << 10, 1 << 18])
+def test_candidates_of_shards_are_whole(monkeypatch, leaf):
+    monkeypatch.setattr(neardup, "LEAF", leaf)
+    sets = [neardup.fives(neardup.shingles(t)) for _, t in near_copies(6, 150)]
+    sizes, fps = np.array([len(s) for s in sets]), np.array([neardup.prints(s)[0] for s in sets], np.uint64)
+    classes = np.arange(len(sets)) // 3
+    every, spanning = set(), neardup.Forest()
+    for mask in neardup.blocks(12):
+        for _, rows, stored in neardup.Router(fps[:60], mask, 2).route(fps):
+            for part in neardup.candidates(fps[rows], sizes[rows], classes[rows], stored, mask, 12, None):
+                every |= {tuple(sorted(x)) for x in rows[part].tolist()}
+            for part in neardup.candidates(fps[rows], sizes[rows], classes[rows], stored, mask, 12, neardup.Forest()):
+                for a, b in rows[part].tolist():
+                    spanning.join(a, b)
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if classes[i] != classes[j] and bin(int(fps[i] ^ fps[j])).count("1") <= 12 and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])}
+    assert want and every == want
+    assert all(spanning.root(i) == spanning.root(j) for i, j in want)
