@@ -241,6 +241,33 @@ def test_fingerprints_lose_hardly_a_pair_alike_to_four_fifths():
     assert len(pairs) > 150 and found >= 0.99 * len(pairs)
 
 
+def test_one_of_each_is_exact_about_four_fifths(spark):
+    """Kept is the first row of each component of the links at 0.8 or more, and nothing under 0.8 is lost, at any length."""
+    texts = [t for p in around(12, n=120) for t in p]
+    r = random.Random(13)
+    base = [f"b{r.randrange(5000)}" for _ in range(100)]
+    for _ in range(60):  # a group whose members are alike to each other to anything from 0.6 to 1
+        changed = list(base)
+        for _ in range(r.randint(0, 3)):
+            changed[r.randrange(100)] = f"c{r.randrange(9999)}"
+        texts.append(" ".join(changed))
+    rows = list(enumerate(texts))
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if alike(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    kept = {x["doc_id"] for x in neardup.one_of_each(frame(spark, rows)).collect()}
+    assert kept == {i for i in range(len(texts)) if root(i) == i}
+
+
 @pytest.mark.parametrize("leaf", [1 << 10, 1 << 18])
 def test_candidates_of_shards_are_whole(monkeypatch, leaf):
     monkeypatch.setattr(neardup, "LEAF", leaf)
