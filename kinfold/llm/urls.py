@@ -59,13 +59,55 @@ def rule_of(rules: Sequence[tuple[str, str, str]]) -> Column:
     return F.array_max(fitting)
 
 
+def unescaped(text: Column) -> Column:
+    """Numeric character references and the five named ones of XML replaced by what they stand for."""
+    known = F.create_map(*[F.lit(x) for x in ("&amp;", "&", "&lt;", "<", "&gt;", ">", "&quot;", '"', "&apos;", "'")])
+
+    def read(piece: Column) -> Column:
+        code = F.when(piece.rlike(r"^&#[xX]"), F.conv(F.regexp_extract(piece, r"^&#[xX](.*);$", 1), 16, 10)).otherwise(F.regexp_extract(piece, r"^&#(.*);$", 1)).try_cast("long")
+        letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(piece.startswith("&#") & piece.endswith(";"), F.when(valid, letter).otherwise(piece)).otherwise(F.coalesce(F.try_element_at(known, F.lower(piece)), piece))
+
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]+);|[^&]+|&"), F.lit(0))
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, read), "")).otherwise(text)
+
+
+def without_dots(of: Column) -> Column:
+    """A path that starts with a slash, without its segments . and .. (RFC 3986, 5.2.4)."""
+    segments = F.split(of, "/", -1)
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(F.slice(segments, 2, F.size(segments)), F.array().cast("array<string>"), step)
+    last = F.when(of.rlike(r"/\.\.?$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(of.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(last, "/"))).otherwise(of)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """What a target names on the page base, as an absolute url (RFC 3986, 5.2); null for the page itself and for schemes without //."""
+    site, at = F.concat(F.lit("http://"), host(base)), path(base)
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(at == "", "/").otherwise(F.regexp_extract(at, r"(?s)^(.*/)", 1))
+    whole = F.when(target.startswith("//"), F.concat(F.lit("http:"), target)).otherwise(target)
+    absolute = F.concat(F.lit("http://"), host(whole), without_dots(path(whole)), F.regexp_extract(whole, r"(?s)^.*?://[^?#]*(.*)$", 1))
+    return (
+        F.when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*://") | target.startswith("//"), absolute)
+        .when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*:") | target.startswith("#") | (target == ""), None)
+        .when(target.startswith("?"), F.concat(site, at, target))
+        .when(target.startswith("/"), F.concat(site, without_dots(own), rest))
+        .otherwise(F.concat(site, without_dots(F.concat(folder, own)), rest))
+    )
+
+
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): a page's url and what its canonical links and redirects name, as nodes. Relative targets take the page's host."""
+    """(a, b): a page's url and what its canonical links and redirects name, as nodes. Relative targets are resolved against the page's url."""
     own = F.col(url)
     marked = F.col(html).rlike(r"(?i)rel\s*=\s*[\"']?canonical|http-equiv\s*=\s*[\"']?refresh")
-    found = pages.filter(marked & own.isNotNull()).select(own.alias("u"), F.explode(F.concat(F.regexp_extract_all(html, F.lit(LINK), 1), F.regexp_extract_all(html, F.lit(REFRESH), 1))).alias("t"))
-    full = F.when(F.col("t").contains("://"), F.col("t")).when(F.col("t").startswith("//"), F.concat(F.lit("http:"), "t")).when(F.col("t").startswith("/"), F.concat(F.lit("http://"), host(F.col("u")), "t"))
-    return found.select(node(F.col("u")).alias("a"), node(full).alias("b")).filter("a is not null and b is not null and a <> b").distinct()
+    targets = F.concat(F.regexp_extract_all(html, F.lit(LINK), 1), F.regexp_extract_all(html, F.lit(REFRESH), 1))
+    found = pages.filter(marked & own.isNotNull()).select(own.alias("u"), F.explode(targets).alias("t"))
+    # each step an explode, so that the optimizer doesn't write it out wherever its result is used
+    found = found.select("u", F.explode(F.array(unescaped(F.col("t")))).alias("t"))
+    found = found.select("u", F.explode(F.array(resolved(F.col("t"), F.col("u")))).alias("f"))
+    return found.select(node(F.col("u")).alias("a"), node(F.col("f")).alias("b")).filter("a is not null and b is not null and a <> b").distinct()
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:

@@ -76,3 +76,33 @@ def test_block_reaches_aliases_without_an_allow(spark):
 @pytest.mark.parametrize("rows", [[], [(None, None, None)]])
 def test_pages_without_urls(spark, rows):
     assert urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).count() == len(rows)
+
+
+@pytest.mark.parametrize(
+    ("target", "want"),
+    [
+        ("index.html", "a.net/x/y/index.html"),
+        ("?id=3&amp;z=&#52;&#x35;", "a.net/x/y/p?id=3&z=45"),
+        ("../a", "a.net/x/a"),
+        ("../../../a/./b/..", "a.net/a/"),
+        ("./", "a.net/x/y/"),
+        ("/login?next=http://x.com/fr/", "a.net/login?next=http://x.com/fr/"),
+        ("q?next=http://x.com/fr/../", "a.net/x/y/q?next=http://x.com/fr/../"),
+        ("/b/../c?d=..", "a.net/c?d=.."),
+        ("//B.org/k#f", "b.org/k"),
+        ("HTTPS://B.org/k/../l?m=1&amp;n=2#f", "b.org/l?m=1&n=2"),
+        ("http://b.org/caf&#233;&copy;", "b.org/café&copy;"),
+        ("mailto:me@b.org", None),
+        ("#top", None),
+    ],
+)
+def test_targets_of_all_forms(spark, target, want):
+    for html in (f'<link rel="canonical" href="{target}">', f'<meta http-equiv="refresh" content="0; url={target}">'):
+        pages = spark.createDataFrame([(1, "http://A.net/x/y/p?q=1#r", html)], "page_id long, url string, html string")
+        assert [tuple(r) for r in urls.links(pages).collect()] == ([("a.net/x/y/p?q=1", want)] if want else [])
+
+
+def test_relative_aliases_take_their_class_verdict(spark):
+    rows = [(1, "http://a.net/x/", '<link rel="canonical" href="b?c=1&amp;d=2">'), (2, "http://a.net/x/b?c=1&d=2", '<link rel="canonical" href="http://s.com/de/1">'), (3, "http://b.net/", '<link rel="canonical" href="/login?next=http://s.com/de/1">')]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}
