@@ -9,6 +9,7 @@ as in tests on one machine.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not named:
             named = tempfile.mkdtemp(prefix="kinfold-checkpoint-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
@@ -52,14 +55,24 @@ def written_table(df: DataFrame, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     _gathered(df, rows).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._kinfold_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete what written_table() wrote for this frame; only where every frame that reads it has itself been written."""
+    _delete(table.sparkSession, table._kinfold_path)
 
 
 def release_tables(spark: SparkSession) -> None:
     """Delete what written_table() has left. Frames that read those tables are void afterwards."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/tables")
 
 
 #: Bytes of an Arrow batch between the JVM and a Python worker.
