@@ -87,21 +87,32 @@ def slug(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def clean_origin(c: Column | str) -> Column:
+    """Lower case, without outer white space, an export's mark (.rf. and hex digits), a tail _jpg and an image extension, in this order."""
+    text = F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"^\s+|\s+$", "")
+    for pattern in (r"\.rf\.[0-9a-f]+$", "_jpg$", r"\.(jpg|jpeg|png)$"):
+        text = F.regexp_replace(text, pattern, "")
+    return text
+
+
 def timestamp_key(c: Column | str) -> tuple[Column, Column]:
-    """(prefix, epoch seconds) of a name like img_20240131_235959123; null where there is no valid moment."""
-    pattern = r"^(.*?)(\d{8})_(\d{6})(\d{0,3})"
-    day, time, fraction = (F.regexp_extract(col(c), pattern, i) for i in (2, 3, 4))
-    moment = F.try_to_timestamp(F.concat(day, time), F.lit("yyyyMMddHHmmss"))
-    seconds = F.when(day != "", F.unix_timestamp(moment).cast("double") + F.rpad(fraction, 3, "0").cast("double") / 1000)
-    return F.when(seconds.isNotNull(), F.regexp_extract(col(c), pattern, 1)), seconds
+    """(prefix with the day, epoch seconds in UTC) of a name with img_ or pxl_, a day and a time, as img_20240131_235959123; null where
+    there is no valid moment. The session's time zone plays no part."""
+    pattern = r"^(.*?)(?:img|pxl)_(\d{8})_(\d{2})(\d{2})(\d{2})(\d{0,3})"
+    start, day, hour, minute, second, fraction = (F.regexp_extract(clean_origin(c), pattern, i) for i in range(1, 7))
+    date = F.concat_ws("-", F.substr(day, F.lit(1), F.lit(4)), F.substr(day, F.lit(5), F.lit(2)), F.substr(day, F.lit(7), F.lit(2))).try_cast("date")
+    valid = (day != "") & date.isNotNull() & (hour < "24") & (minute < "60") & (second < "60")
+    number = lambda x: x.try_cast("double")
+    seconds = F.unix_date(date) * 86400.0 + number(hour) * 3600 + number(minute) * 60 + number(second) + number(F.rpad(fraction, 3, "0")) / 1000
+    return F.when(valid, F.concat(start, F.lit("img_"), day, F.lit("_"))), F.when(valid, seconds)
 
 
 def sequence_key(c: Column | str) -> tuple[Column, Column]:
-    """(prefix of two characters at least, number) of a name that ends in at most seven digits; null where it doesn't."""
+    """(prefix of two characters at least, number) of a cleaned name that ends in digits, of which at most seven are the number; null where it doesn't."""
     pattern = r"^(.*?)(\d{1,7})$"
-    prefix = F.regexp_extract(col(c), pattern, 1)
+    prefix = F.regexp_extract(clean_origin(c), pattern, 1)
     good = F.length(prefix) >= 2
-    return F.when(good, prefix), F.when(good, F.regexp_extract(col(c), pattern, 2).cast("long"))
+    return F.when(good, prefix), F.when(good, F.regexp_extract(clean_origin(c), pattern, 2).cast("long"))
 
 
 # ids

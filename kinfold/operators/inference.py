@@ -10,8 +10,50 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 97.5 % quantiles of Student's t by degrees of freedom, fixed values.
-T_975 = {1: 12.706205, 2: 4.302653, 3: 3.182446, 4: 2.776445, 5: 2.570582, 6: 2.446912, 7: 2.364624, 8: 2.306004, 9: 2.262157, 10: 2.228139, 14: 2.144787, 19: 2.093024, 29: 2.045230}
+#: Degrees of freedom up to which Student quantiles are computed one by one; beyond, a series in 1 / df is exact to 1e-9.
+STUDENT = 200
+
+
+def student_cdf(t: float, df: int) -> float:
+    """P(T <= t) for t >= 0 and whole degrees of freedom: the finite sums for odd and even df."""
+    angle = math.atan(t / math.sqrt(df))
+    c, s = math.cos(angle), math.sin(angle)
+    if df % 2:
+        term, total = c, c if df > 1 else 0.0
+        for k in range(3, df - 1, 2):
+            term *= c * c * (k - 1) / k
+            total += term
+        inside = 2 / math.pi * (angle + s * total)
+    else:
+        term, total = 1.0, 1.0
+        for k in range(2, df - 1, 2):
+            term *= c * c * (k - 1) / k
+            total += term
+        inside = s * total
+    return 0.5 + inside / 2
+
+
+def student_quantile(p: float, df: int) -> float:
+    """t with P(T <= t) = p, for p > 0.5, by bisection."""
+    low, high = 0.0, 1.0
+    while student_cdf(high, df) < p:
+        high *= 2
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if student_cdf(middle, df) < p else (low, middle)
+    return (low + high) / 2
+
+
+def student_column(df: Column, confidence: float = 0.95) -> Column:
+    """The two-sided quantile for a column of degrees of freedom; null below 1."""
+    p = (1 + confidence) / 2
+    z = normal_quantile_half(confidence)
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+    series = F.lit(z)
+    for i, term in enumerate(terms, 1):
+        series = series + F.lit(term) / F.pow(df.cast("double"), F.lit(float(i)))
+    few = F.element_at(F.array(*[F.lit(student_quantile(p, d)) for d in range(1, STUDENT + 1)]), F.greatest(F.least(df, F.lit(STUDENT)), F.lit(1)).cast("int"))
+    return F.when(df < 1, None).when(df <= STUDENT, few).otherwise(series)
 
 
 def percentile(c: str | Column, p: float) -> Column:
@@ -27,11 +69,10 @@ def seed_summary(values: DataFrame, by: Sequence[str], value: str = "value") ->
     )
 
 
-def t_interval(values: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """Mean and its 95 % interval by Student's t; degrees of freedom that T_975 doesn't list take the normal quantile."""
-    table = F.create_map(*[F.lit(x) for pair in T_975.items() for x in pair])
-    out = values.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
-    half = F.coalesce(table[(F.col("n") - 1).cast("int")], F.lit(1.959963984540054)) * F.col("sd") / F.sqrt(F.col("n"))
+def t_interval(values: DataFrame, by: Sequence[str], value: str = "value", confidence: float = 0.95) -> DataFrame:
+    """n, mean, sd and the mean's interval by Student's t; sd, low and high are null where there is but one value."""
+    out = values.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    half = student_column(F.col("n") - 1, confidence) * F.col("sd") / F.sqrt(F.col("n"))
     return out.withColumn("low", F.col("mean") - half).withColumn("high", F.col("mean") + half)
 
 
@@ -63,13 +104,13 @@ def matched_null(observed: DataFrame, null: DataFrame, keys: Sequence[str], larg
 
 
 def _scores(cells: np.ndarray, labels: int) -> dict[str, np.ndarray]:
-    """Metrics of confusion matrices (replicates, labels * labels)."""
+    """Metrics of confusion matrices (replicates, labels * labels); a label without a true row has a recall of 0."""
     m = cells.reshape(len(cells), labels, labels)
     support, predicted, hits = m.sum(2), m.sum(1), np.einsum("rii->ri", m)
     with np.errstate(divide="ignore", invalid="ignore"):
-        recall, precision = np.where(support > 0, hits / support, np.nan), np.where(predicted > 0, hits / predicted, 0.0)
+        recall, precision = np.where(support > 0, hits / support, 0.0), np.where(predicted > 0, hits / predicted, 0.0)
         f1 = np.where(support + predicted > 0, 2 * hits / (support + predicted), 0.0)
-        return {"accuracy": hits.sum(1) / m.sum((1, 2)), "balanced_accuracy": np.nanmean(recall, axis=1), "macro_f1": f1.mean(1), "macro_precision": precision.mean(1)}
+        return {"accuracy": hits.sum(1) / m.sum((1, 2)), "balanced_accuracy": recall.mean(1), "macro_f1": f1.mean(1), "macro_precision": precision.mean(1)}
 
 
 def cluster_bootstrap(predictions: DataFrame, cluster: str, by: str, replicates: int = 500, seed: int = 0) -> DataFrame:

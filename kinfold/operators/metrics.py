@@ -8,12 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def confusion(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., y_true, y_pred, n) in long form, zeros included for all labels that occur within a `by` group."""
+def confusion(predictions: DataFrame, by: Sequence[str] = (), labels: Sequence | None = None) -> DataFrame:
+    """(by..., y_true, y_pred, n) in long form, zeros included for the labels: those given, else all that occur within a `by` group.
+
+    Given labels are the whole list: a prediction outside it is counted in no cell.
+    """
     cells = predictions.groupBy(*by, "y_true", "y_pred").agg(F.count("*").alias("n"))
-    seen = cells.select(*by, F.explode(F.array("y_true", "y_pred")).alias("l"))
-    labels = seen.groupBy(*by).agg(F.array_sort(F.collect_set("l")).alias("ls"))
-    every = labels.select(*by, F.explode("ls").alias("y_true"), "ls").select(*by, "y_true", F.explode("ls").alias("y_pred"))
+    if labels is None:
+        seen = cells.select(*by, F.explode(F.array("y_true", "y_pred")).alias("l"))
+        known = seen.groupBy(*by).agg(F.array_sort(F.collect_set("l")).alias("ls"))
+    else:
+        groups = cells.select(*by).distinct() if by else cells.sparkSession.range(1).select()
+        known = groups.select("*", F.array(*[F.lit(x) for x in labels]).alias("ls"))
+    every = known.select(*by, F.explode("ls").alias("y_true"), "ls").select(*by, "y_true", F.explode("ls").alias("y_pred"))
     return every.join(cells, [*by, "y_true", "y_pred"], "left").na.fill(0, ["n"])
 
 
@@ -30,12 +37,12 @@ def per_class(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def summary(classes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """n, accuracy, balanced accuracy (over labels that occur), macro and weighted F1."""
+    """n, accuracy, balanced accuracy (the mean recall of all labels of the matrix, 0 for a label that no row truly has), macro and weighted F1."""
     n = F.sum("support")
     return classes.groupBy(*by).agg(
         n.alias("n"),
         (F.sum("hits") / n).alias("accuracy"),
-        F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"),
+        F.avg("recall").alias("balanced_accuracy"),
         F.avg("f1").alias("macro_f1"),
         (F.sum(F.col("f1") * F.col("support")) / n).alias("weighted_f1"),
     )

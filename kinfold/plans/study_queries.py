@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinfold.functions import exprs as X
 from kinfold.operators import inference as I
 from kinfold.operators import metrics as M
 from kinfold.operators import models as L
@@ -137,6 +138,38 @@ def multiclass_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.summary(_classes(spark, sf_dir), ["run"]).select("run", "n", *[F.round(c, 9).alias(c) for c in ("accuracy", "balanced_accuracy", "macro_f1", "weighted_f1")])
 
 
+#: Labels given beforehand: ten that occur, but not in every unit's rows, and one that never does.
+FIXED_LABELS = [str(x) for x in range(11)]
+
+
+def fixed_label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of small groups under a given list of labels: most groups lack some classes, and one class never occurs."""
+    p = predictions(spark, sf_dir).withColumn("part", (F.col("vec_id") % 61).cast("int"))
+    by = ["run", "part"]
+    return M.summary(M.per_class(M.confusion(p, by, FIXED_LABELS), by), by).select(*by, "n", *[F.round(c, 9).alias(c) for c in ("accuracy", "balanced_accuracy", "macro_f1", "weighted_f1")])
+
+
+def student_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of means of groups of 1, 2, 12, 16 and 301 values."""
+    v = predictions(spark, sf_dir).filter("run = 'base'").select("vec_id", F.col("top").alias("value"))
+    v = v.select("value", "vec_id", F.explode(F.array(*[F.lit(n) for n in (1, 2, 12, 16, 301)])).alias("size")).filter("vec_id < size")
+    return I.t_interval(v, ["size"]).select("size", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "low", "high")])
+
+
+def sequence_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time and sequence keys of names made from the ids of events, some of them no such names."""
+    i = F.col("event_id")
+    digits = F.lpad((20230101 + i % 2400).cast("string"), 8, "0")
+    clock = F.lpad((i * 7919 % 250000).cast("string"), 6, "0")
+    forms = F.array(
+        F.concat(F.lit("IMG_"), digits, F.lit("_"), clock, F.lit("12.JPG")), F.concat(F.lit("farm a pxl_"), digits, F.lit("_"), clock, F.lit("_jpg.rf.0a1b")),
+        F.concat(F.lit("scan "), digits, F.lit("_"), clock), F.concat(F.lit(" Frame-"), (i % 977).cast("string"), F.lit(".png")), F.concat(F.lit("x"), (i % 5).cast("string")),
+    )
+    e = table(spark, sf_dir, "events").select("event_id", F.element_at(forms, (i % 5 + 1).cast("int")).alias("name"))
+    (a, moment), (b, number) = X.timestamp_key(F.col("name")), X.sequence_key(F.col("name"))
+    return e.select("event_id", "name", a.alias("time_prefix"), moment.alias("moment"), b.alias("prefix"), number.alias("number"))
+
+
 _CLASSES = f"""with {PREDICTIONS}, ls as (select distinct run, unnest([y_true, y_pred]) as label from preds), per as (select run, label,
   (select count(*) from preds p where p.run = ls.run and p.y_true = label) as support, (select count(*) from preds p where p.run = ls.run and p.y_pred = label) as predicted, (select count(*) from preds p where p.run = ls.run and p.y_true = label and p.y_pred = label) as hits from ls),
 c as (select run, label, support, hits, case when predicted > 0 then hits / predicted else 0.0 end as precision, case when support > 0 then hits / support else 0.0 end as recall from per),
@@ -255,7 +288,24 @@ ORACLE = {
     "class_weights": f"with {ITEMS}, c as (select label, count(*) as n from items group by 1) select label, n, round((select sum(n) from c)::double / ((select count(*) from c) * n), 9) as weight from c",
     "confusion_matrix_long": f"with {PREDICTIONS}, l as (select distinct run, unnest([y_true, y_pred]) as x from preds) select a.run, a.x as y_true, b.x as y_pred, (select count(*) from preds p where p.run = a.run and p.y_true = a.x and p.y_pred = b.x) as n from l a join l b on a.run = b.run",
     "per_class_metrics": _CLASSES + " select run, label, support, round(precision, 9) as precision, round(recall, 9) as recall, round(f1, 9) as f1 from classes",
-    "multiclass_metrics": _CLASSES + " select run, sum(support)::bigint as n, round(sum(hits) / sum(support), 9) as accuracy, round(avg(recall) filter (support > 0), 9) as balanced_accuracy, round(avg(f1), 9) as macro_f1, round(sum(f1 * support) / sum(support), 9) as weighted_f1 from classes group by run",
+    "multiclass_metrics": _CLASSES + " select run, sum(support)::bigint as n, round(sum(hits) / sum(support), 9) as accuracy, round(avg(recall), 9) as balanced_accuracy, round(avg(f1), 9) as macro_f1, round(sum(f1 * support) / sum(support), 9) as weighted_f1 from classes group by run",
+    "fixed_label_metrics": f"""with {PREDICTIONS}, p as (select run, (vec_id % 61)::int as part, y_true, y_pred from preds), g as (select distinct run, part from p),
+ c as (select g.run, g.part, x::varchar as label, count(*) filter (y_true = x::varchar) as support, count(*) filter (y_pred = x::varchar) as predicted, count(*) filter (y_true = x::varchar and y_pred = x::varchar) as hits
+   from g cross join range(11) t(x) join p on p.run = g.run and p.part = g.part group by 1, 2, 3),
+ r as (select *, case when support > 0 then hits / support else 0.0 end as recall, case when support + predicted > 0 then 2 * hits / (support + predicted) else 0.0 end as f1 from c)
+ select run, part, sum(support)::bigint as n, round(sum(hits) / sum(support), 9) as accuracy, round(sum(recall) / 11, 9) as balanced_accuracy, round(sum(f1) / 11, 9) as macro_f1, round(sum(f1 * support) / sum(support), 9) as weighted_f1 from r group by run, part""",
+    # Student's quantiles for 1, 11, 15 and 300 degrees of freedom, fixed values
+    "student_intervals": f"""with {PREDICTIONS}, q(size, t) as (values (1, null::double), (2, 12.706204736), (12, 2.200985160), (16, 2.131449546), (301, 1.967903011)),
+ s as (select size, count(*) as n, avg(top) as mean, stddev_samp(top) as sd, max(t) as t from preds join q on vec_id < size where run = 'base' group by size)
+ select size, n, round(mean, 6) as mean, round(sd, 6) as sd, round(mean - t * sd / sqrt(n), 6) as low, round(mean + t * sd / sqrt(n), 6) as high from s""",
+    "sequence_names": r"""with e as (select event_id, case event_id % 5 when 0 then 'IMG_' || d || '_' || c || '12.JPG' when 1 then 'farm a pxl_' || d || '_' || c || '_jpg.rf.0a1b' when 2 then 'scan ' || d || '_' || c
+   when 3 then ' Frame-' || (event_id % 977) || '.png' else 'x' || (event_id % 5) end as name from (select event_id, (20230101 + event_id % 2400)::varchar as d, lpad((event_id * 7919 % 250000)::varchar, 6, '0') as c from events)),
+ k as (select *, regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), '\.rf\.[0-9a-f]+$', ''), '_jpg$', ''), '\.(jpg|jpeg|png)$', '') as o from e),
+ m as (select *, regexp_extract(o, '^(.*?)(?:img|pxl)_(\d{8})_(\d{6})(\d{0,3})', 2) as d, regexp_extract(o, '^(.*?)(?:img|pxl)_(\d{8})_(\d{6})(\d{0,3})', 3) as c, regexp_extract(o, '^(.*?)(?:img|pxl)_(\d{8})_(\d{6})(\d{0,3})', 4) as f,
+   regexp_extract(o, '^(.*?)(?:img|pxl)_(\d{8})_(\d{6})(\d{0,3})', 1) as before, regexp_extract(o, '^(.*?)(\d{1,7})$', 1) as p, regexp_extract(o, '^(.*?)(\d{1,7})$', 2) as num from k),
+ t as (select *, case when d <> '' then try_strptime(d || c, '%Y%m%d%H%M%S') end as moment_at from m)
+ select event_id, name, case when moment_at is not null then before || 'img_' || d || '_' end as time_prefix, case when moment_at is not null then epoch(moment_at) + rpad(f, 3, '0')::double / 1000 end as moment,
+   case when length(p) >= 2 then p end as prefix, case when length(p) >= 2 then num::bigint end as number from t""",
     "logloss_brier": f"with {PREDICTIONS} select run, round(avg(-ln(greatest(least(scores[y_true::int + 1], 1), 1e-15))), 9) as log_loss, round(avg(list_sum(list_transform(range(10), lambda c: (scores[c + 1] - (c = y_true::int)::int) * (scores[c + 1] - (c = y_true::int)::int)))), 9) as brier from preds group by run",
     "reliability_table": f"with {PREDICTIONS}, b as (select run, least(floor(top * 10), 9)::int as bin, count(*) as n, avg(top) as c, avg((y_true = y_pred)::int) as a from preds group by 1, 2) select r.run, k::int as bin, coalesce(n, 0) as n, round(c, 9) as mean_confidence, round(a, 9) as accuracy from (select distinct run from preds) r, range(10) t(k) left join b on b.run = r.run and b.bin = k",
     "calibration_error": f"with {PREDICTIONS}, b as (select run, least(floor(top * 15), 14)::int as bin, count(*) as n, avg(top) as c, avg((y_true = y_pred)::int) as a from preds group by 1, 2) select run, round(sum(abs(a - c) * n) / sum(n), 9) as ece from b group by run",

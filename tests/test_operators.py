@@ -319,7 +319,11 @@ def test_names_and_paths(spark):
     assert value(spark, X.normal_path(F.lit(".\\A//b/./C"))) == "a/b/./c"
     assert value(spark, X.slug(F.lit("  Big, Name! "))) == "big-name"
     prefix, moment = X.timestamp_key(F.lit("img_20240229_235959120"))
-    assert value(spark, prefix) == "img_" and value(spark, moment) == 1709251199.12
+    assert value(spark, prefix) == "img_20240229_" and value(spark, moment) == 1709251199.12
+    for name in ("scan 20240131_235959", "img_20240131_240000", "img_20240131_235960", "", None):
+        assert value(spark, X.timestamp_key(F.lit(name).cast("string"))[0]) is None
+    assert value(spark, X.timestamp_key(F.lit(" Farm_PXL_20240131_000000_jpg.rf.0aF "))[0]) == "farm_img_20240131_"
+    assert value(spark, X.clean_origin(F.lit("A_jpg.rf.12ab"))) == "a" and value(spark, X.sequence_key(F.lit("Frame12.PNG"))[1]) == 12
     assert value(spark, X.timestamp_key(F.lit("img_20230229_000000"))[1]) is None
     assert (value(spark, X.sequence_key(F.lit("frame0012"))[0]), value(spark, X.sequence_key(F.lit("frame0012"))[1])) == ("frame", 12)
     assert value(spark, X.sequence_key(F.lit("a1"))[0]) is None
@@ -327,6 +331,16 @@ def test_names_and_paths(spark):
     assert value(spark, X.seed_of("20260731", "S3A0001", "")) == 4145527585
 
 
+def test_student_quantiles_meet_their_definition(spark):
+    from kinfold.operators.inference import student_cdf, student_column, student_quantile
+
+    for df, want in ((1, 12.706204736), (2, 4.302652730), (11, 2.200985160), (15, 2.131449546), (16, 2.119905299), (100, 1.983971519)):
+        assert abs(student_quantile(0.975, df) - want) < 1e-8 and abs(student_cdf(want, df) - 0.975) < 1e-9
+    for df in (200, 201, 1000):
+        assert abs(value(spark, student_column(F.lit(df))) - student_quantile(0.975, df)) < 1e-8
+    assert value(spark, student_column(F.lit(0))) is None
+
+
 def test_scores_and_labels(spark):
     soft = value(spark, X.softmax(F.array(F.lit(1000.0), F.lit(1000.0))))
     assert soft == [0.5, 0.5]
