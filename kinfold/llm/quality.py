@@ -5,7 +5,10 @@ Each rule reads a few signals of a text and votes good (1), bad (-1) or abstains
 the number of rules at most, whatever the input's size). Expectation-maximisation
 over these counts estimates, for each rule, how often it votes good on good
 documents and bad on bad ones; an abstention says nothing. The posterior
-probability of good quality decides instead of an all-must-pass filter.
+probability of good quality decides instead of an all-must-pass filter: a bad vote of
+a rule that often misfires on good documents is outweighed by the other rules' good ones.
+Which of the two classes is the good one is fixed by a single constraint: no rule votes
+good on bad documents more readily than on good ones.
 
 Defined results: a null, empty or blank text has no words and fails the base
 test. Repeated rows and null ids are judged row by row. An empty table gives an
@@ -35,12 +38,9 @@ RULES = (
 PLAIN = r"^[(\"']?\p{L}[\p{L}'’-]*[.,;:!?)\"']?$"
 #: Rounds of expectation-maximisation.
 ROUNDS = 40
-#: What is believed of a rule before any vote is seen, each held with a weight given as a share of all documents:
-#: it votes good on good documents with the first probability, bad on bad ones with the second. Rules are written
-#: not to misfire, and each sees one kind of junk. Without these beliefs the two classes that explain the votes
-#: best need not be good and bad: junk that one rule alone finds joins the good class.
-GOOD_ON_GOOD, GOOD_WEIGHT = 0.999, 1.0
-BAD_ON_BAD, BAD_WEIGHT = 0.3, 0.1
+#: What is believed of a rule before any vote is seen, worth as much as BELIEF documents: it votes good on good documents with
+#: the first probability, bad on bad ones with the second.
+GOOD_ON_GOOD, BAD_ON_BAD, BELIEF = 0.95, 0.5, 5
 
 
 def signals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -89,29 +89,38 @@ def posterior(patterns: DataFrame, rules: int, rounds: int = ROUNDS) -> DataFram
     """(code, p_good) from (code, v, n): vote patterns with their counts, at most 3 ** rules rows.
 
     All rounds are one higher-order expression over the gathered patterns. The
-    first guess: a pattern without a bad vote is good with 0.95, any other with 0.05.
+    first guess is the share of good votes, one of either kind being added.
     """
-    def score(state: str) -> str:
-        return (
-            f"1 / (1 + exp(-greatest(-500D, least(500D, ln({state}.pi / (1 - {state}.pi)) + aggregate(sequence(0, {rules - 1}), 0D, (z, j) -> z + "
-            f"case p.v[j] when 1 then ln({state}.a[j] / (1 - {state}.b[j])) when -1 then ln((1 - {state}.a[j]) / {state}.b[j]) else 0D end)))))"
-        )
+    state = estimated(patterns, rules, rounds)
+    return state.select(F.expr(f"inline(transform(pats, p -> named_struct('code', p.code, 'p_good', {_score('fit', rules)})))"))
+
+
+def _score(state: str, rules: int) -> str:
+    """The posterior of a pattern p under estimates."""
+    return (
+        f"1 / (1 + exp(-greatest(-500D, least(500D, ln({state}.pi / (1 - {state}.pi)) + aggregate(sequence(0, {rules - 1}), 0D, (z, j) -> z + "
+        f"case p.v[j] when 1 then ln({state}.a[j] / (1 - {state}.b[j])) when -1 then ln((1 - {state}.a[j]) / {state}.b[j]) else 0D end)))))"
+    )
+
 
+def estimated(patterns: DataFrame, rules: int, rounds: int = ROUNDS) -> DataFrame:
+    """One row: pats, the patterns, and fit, the estimates: pi (share of good documents), a (each rule's probability to vote good on
+    a good document, if it votes) and b (bad on a bad one)."""
     total = "aggregate(q, 0D, (z, p) -> z + p.n)"
     part = lambda vote, of: f"aggregate(q, 0D, (z, p) -> z + case when p.v[j] {vote} then p.n * {of} else 0D end)"
     bound = lambda x: f"greatest(1e-6D, least(1 - 1e-6D, {x}))"
+    good = f"({part('= 1', 'p.g')} + {GOOD_ON_GOOD * BELIEF}) / ({part('<> 0', 'p.g')} + {BELIEF})"
+    bad = f"({part('= -1', '(1 - p.g)')} + {BAD_ON_BAD * BELIEF}) / ({part('<> 0', '(1 - p.g)')} + {BELIEF})"
     estimate = (
         f"named_struct('pi', {bound(f'aggregate(q, 0D, (z, p) -> z + p.n * p.g) / {total}')}, "
-        f"'a', transform(sequence(0, {rules - 1}), j -> {bound(f'({part('= 1', 'p.g')} + {GOOD_ON_GOOD * GOOD_WEIGHT} * {total}) / ({part('<> 0', 'p.g')} + {GOOD_WEIGHT} * {total})')}), "
-        f"'b', transform(sequence(0, {rules - 1}), j -> {bound(f'({part('= -1', '(1 - p.g)')} + {BAD_ON_BAD * BAD_WEIGHT} * {total}) / ({part('<> 0', '(1 - p.g)')} + {BAD_WEIGHT} * {total})')}))"
+        f"'a', transform(sequence(0, {rules - 1}), j -> {bound(good)}), 'b', transform(sequence(0, {rules - 1}), j -> {bound(f'greatest({bad}, 1 - {good})')}))"
     )
     # one step: the q of all patterns under the state, then the estimates from q
     fit = lambda q: f"element_at(transform(array({q}), q -> {estimate}), 1)"
-    weigh = lambda state: f"transform(pats, p -> named_struct('v', p.v, 'n', p.n, 'g', {score(state)}))"
-    first = "transform(pats, p -> named_struct('v', p.v, 'n', p.n, 'g', case when array_contains(p.v, -1) then 0.05D else 0.95D end))"
+    weigh = lambda state: f"transform(pats, p -> named_struct('v', p.v, 'n', p.n, 'g', {_score(state, rules)}))"
+    first = "transform(pats, p -> named_struct('v', p.v, 'n', p.n, 'g', (size(filter(p.v, x -> x = 1)) + 1D) / (size(filter(p.v, x -> x <> 0)) + 2D)))"
     gathered = patterns.agg(F.sort_array(F.collect_list(F.struct("code", "v", F.col("n").cast("double").alias("n")))).alias("pats")).filter("size(pats) > 0")
-    state = gathered.withColumn("fit", F.expr(f"aggregate(sequence(1, {rounds}), {fit(first)}, (s, r) -> {fit(weigh('s'))})"))
-    return state.select(F.expr(f"inline(transform(pats, p -> named_struct('code', p.code, 'p_good', {score('fit')})))"))
+    return gathered.withColumn("fit", F.expr(f"aggregate(sequence(1, {rounds}), {fit(first)}, (s, r) -> {fit(weigh('s'))})"))
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
@@ -137,10 +146,11 @@ def oracle() -> str:
     bound = lambda x: f"greatest(1e-6, least(1 - 1e-6, {x}))"
     part = lambda vote, of: f"list_sum(list_transform(q, lambda p: case when p.v[j] {vote} then p.n * {of} else 0 end))"
     total = "list_sum(list_transform(q, lambda p: p.n))"
+    good = f"({part('= 1', 'p.g')} + {GOOD_ON_GOOD * BELIEF}) / ({part('<> 0', 'p.g')} + {BELIEF})"
+    bad = f"({part('= -1', '(1 - p.g)')} + {BAD_ON_BAD * BELIEF}) / ({part('<> 0', '(1 - p.g)')} + {BELIEF})"
     estimates = (
         f"{bound(f'list_sum(list_transform(q, lambda p: p.n * p.g)) / {total}')} as pi, "
-        f"list_transform(range(1, {m + 1}), lambda j: {bound(f'({part("= 1", "p.g")} + {GOOD_ON_GOOD * GOOD_WEIGHT} * {total}) / ({part("<> 0", "p.g")} + {GOOD_WEIGHT} * {total})')}) as a, "
-        f"list_transform(range(1, {m + 1}), lambda j: {bound(f'({part("= -1", "(1 - p.g)")} + {BAD_ON_BAD * BAD_WEIGHT} * {total}) / ({part("<> 0", "(1 - p.g)")} + {BAD_WEIGHT} * {total})')}) as b"
+        f"list_transform(range(1, {m + 1}), lambda j: {bound(good)}) as a, list_transform(range(1, {m + 1}), lambda j: {bound(f'greatest({bad}, 1 - {good})')}) as b"
     )
     votes_sql = ", ".join(f"case when {bad} then -1 when {good} then 1 else 0 end" for _, bad, good in RULES)
     plain = PLAIN.replace("'", "''")
@@ -157,7 +167,7 @@ s as (select w.i, doc_id, len(words)::bigint as n_words, coalesce(list_sum(list_
 voted as (select *, [{votes_sql}] as v from s),
 pats as materialized (select list(struct_pack(v := v, n := n) order by v) as pats from (select v, count(*)::double as n from voted group by v)),
 em(r, pi, a, b) as (
-  select 0, {estimates} from (select list_transform(pats, lambda p: struct_pack(v := p.v, n := p.n, g := case when list_contains(p.v, -1) then 0.05 else 0.95 end)) as q from pats)
+  select 0, {estimates} from (select list_transform(pats, lambda p: struct_pack(v := p.v, n := p.n, g := (len(list_filter(p.v, lambda x: x = 1)) + 1.0::double) / (len(list_filter(p.v, lambda x: x <> 0)) + 2))) as q from pats)
   union all
   select r + 1, {estimates} from (select r, list_transform(pats.pats, lambda p: struct_pack(v := p.v, n := p.n, g := {score('pi', 'a', 'b')})) as q from em, pats where r < {ROUNDS})),
 fit as (select unnest(list_transform(pats.pats, lambda p: struct_pack(v := p.v, p_good := {score('pi', 'a', 'b')}))) as x from em, pats where r = {ROUNDS})

@@ -35,6 +35,37 @@ def test_posterior_tells_junk_from_prose(spark):
     assert all(kept[i] for i, _ in rows) and not any(kept[i] for i, _ in junk)
 
 
+def planted_votes(spark, documents=20_000, seed=3):
+    """Votes of rules of known accuracies: pi, a, b, and patterns with their counts."""
+    r = random.Random(seed)
+    pi, a, b, voting = 0.85, [0.99, 0.97, 0.9, 0.95, 0.99], [0.7, 0.5, 0.6, 0.4, 0.3], [0.9, 1.0, 0.8, 0.95, 0.6]
+    counts, good = collections.Counter(), collections.Counter()
+    for _ in range(documents):
+        fine = r.random() < pi
+        vote = tuple(0 if r.random() > u else (1 if r.random() < x else -1) if fine else (-1 if r.random() < y else 1) for x, y, u in zip(a, b, voting, strict=True))
+        counts[vote] += 1
+        good[vote] += fine
+    rows = [(i, list(v), n) for i, (v, n) in enumerate(sorted(counts.items()))]
+    return pi, a, b, spark.createDataFrame(rows, "code int, v array<int>, n long"), {i: good[tuple(v)] / n for i, v, n in rows if n >= 300}
+
+
+def test_accuracies_of_rules_are_estimated(spark):
+    pi, a, b, patterns, share = planted_votes(spark)
+    fit = quality.estimated(patterns, len(a)).first()["fit"]
+    print("share of good documents", fit["pi"], "good on good", fit["a"], "bad on bad", fit["b"])
+    assert abs(fit["pi"] - pi) < 0.03
+    assert all(abs(x - y) < 0.02 for x, y in zip(fit["a"], a, strict=True)) and all(abs(x - y) < 0.08 for x, y in zip(fit["b"], b, strict=True))
+    found = {x["code"]: x["p_good"] for x in quality.posterior(patterns, len(a)).collect()}
+    assert share and all(abs(found[i] - x) < 0.05 for i, x in share.items())
+
+
+def test_a_bad_vote_can_be_outweighed(spark):
+    """A rule that often votes bad on good documents is not believed; one that never does is."""
+    rows = [(0, [1, 1, 1], 8000), (1, [1, 1, -1], 900), (2, [-1, -1, 1], 300), (3, [-1, -1, -1], 500), (4, [-1, 1, 1], 20)]
+    found = {x["code"]: x["p_good"] for x in quality.posterior(spark.createDataFrame(rows, "code int, v array<int>, n long"), 3).collect()}
+    assert found[0] > 0.9 and found[1] > 0.5 and found[2] < 0.5 and found[3] < 0.1
+
+
 def test_quality_of_an_empty_table(spark):
     assert quality.judge(frame(spark, [])).count() == 0
 
