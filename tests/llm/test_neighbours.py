@@ -46,6 +46,23 @@ def test_recall_and_scores(spark, monkeypatch):
     assert all(abs(s - (truth[q] * truth[i]).sum()) < 1e-9 for q, near in got.items() for i, s in near)
 
 
+def test_few_vectors_are_verified():
+    """Of 10,000 vectors without any structure, the threshold lets a twentieth through."""
+    r = np.random.default_rng(5)
+    vectors = r.standard_normal((10_000, 64))
+    vectors /= np.sqrt((vectors**2).sum(1, keepdims=True))
+    shard = neighbours.Shard(np.arange(10_000), vectors, 1.0)
+    asked = list(range(0, 10_000, 400))
+    found = shard.answer(asked, [vectors[q] for q in asked], 20)
+    assert shard.looked <= 0.05 * 10_000 * len(asked)
+    hits = 0
+    for q, near, _ in found:
+        scores = vectors @ vectors[q]
+        scores[q] = -2
+        hits += len(set(near.tolist()) & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.95 * 20 * len(asked)
+
+
 def test_equal_vectors_go_by_id(spark):
     one = [1.0] + [0.0] * 15
     rows = [(i, one) for i in range(100)] + [(200 + i, [0.0, 1.0] + [0.0] * 14) for i in range(30)]
