@@ -93,6 +93,111 @@ def test_own_and_inherited_licences(spark):
     assert got[None] == ("GPL-3.0", "inherited", "a/b")
 
 
+MIT = """MIT License
+
+Copyright (c) 2021 Some Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+APACHE = """Copyright 2019 Some Company
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+GPL2_START = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 2, June 1991
+
+ Copyright (C) 1989, 1991 Free Software Foundation, Inc.
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The licenses for most software are designed to take away your
+freedom to share and change it.  By contrast, the GNU General Public
+License is intended to guarantee your freedom to share and change free
+software--to make sure the software is free for all its users.
+"""
+
+
+def wrapped(text, mark="", width=70):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(text, width)) + "\n"
+
+
+def test_real_licence_files_and_headers(spark):
+    texts = dict(licences.WHOLE)
+    said = dict((n, t) for n, t in licences.STATEMENTS if "redistribute" in t)
+    comment = lambda t, mark: "".join(f"{mark} {x}\n" for x in t.split("\n"))
+    code = "\nint main() { return 0; }\n" * 20
+    want = [
+        ("mit/LICENSE", MIT, "MIT"), ("apache/LICENSE.txt", APACHE, "Apache-2.0"), ("gpl2/COPYING", GPL2_START + "more words of the text " * 200, "GPL-2.0"),
+        ("bsd2/LICENSE", "Copyright (c) 2020, A. Person\nAll rights reserved.\n\n" + wrapped(texts["BSD-2-Clause"]), "BSD-2-Clause"),
+        ("bsd3/LICENSE", "Copyright (c) 2020, A. Person\n\n" + wrapped(texts["BSD-3-Clause"]), "BSD-3-Clause"),
+        ("isc/LICENSE", "ISC License\n\nCopyright (c) 2020, A. Person\n\n" + wrapped(texts["ISC"]), "ISC"), ("un/UNLICENSE", wrapped(texts["Unlicense"]), "Unlicense"),
+        ("x/a.py", comment(GPL, "#") + code, "GPL-3.0"), ("x/b.js", comment(MPL, "//") + code, "MPL-2.0"), ("x/c.c", "/*\n" + comment(APACHE, " *") + " */\n" + code, "Apache-2.0"),
+        ("x/d.c", comment("Copyright 2020 A. Person\n\n" + wrapped(texts["BSD-2-Clause"], width=60), "//") + code, "BSD-2-Clause"),
+        ("x/e.c", comment("Copyright 2020 A. Person\n\n" + wrapped(texts["BSD-3-Clause"], width=60), "//") + code, "BSD-3-Clause"),
+        ("x/f.c", comment(wrapped(said["LGPL-2.1"], width=60), " *") + code, "LGPL-2.1"), ("x/g.c", "/*\n" + wrapped(said["GPL-2.0"], width=60) + "*/\n" + code, "GPL-2.0"),
+        *[(f"s/{i}.rs", f"// SPDX-License-Identifier: {x}\n" + code, x.removesuffix("-or-later").removesuffix("-only")) for i, x in enumerate(["MIT", "Apache-2.0", "GPL-3.0-or-later", "GPL-2.0-only", "LGPL-2.1", "MPL-2.0"])],
+        ("mit/deep/er/x.c", code, "MIT"), ("gpl2/x.c", code, "GPL-2.0"), ("bsd2/y.c", code, "BSD-2-Clause"), ("s/none.rs", code, None), ("other/x.txt", "the driver lost the licence of the car\n", None),
+    ]
+    rows = [(i, p, t) for i, (p, t, _) in enumerate(want)]
+    got = {r["doc_id"]: r["licence"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [(p, got[i]) for i, (p, _, _) in enumerate(want)] == [(p, name) for p, _, name in want]
+
+
+def test_the_sql_says_the_same_of_real_headers(spark):
+    import duckdb
+    import pandas as pd
+
+    texts = [MIT, GPL, MPL, APACHE, GPL2_START, *[wrapped(t, m) for _, t in licences.WHOLE for m in ("", "// ")], "plain", None, ""]
+    docs = pd.DataFrame([(i, f"s{i % 3}", "en", t) for i, t in enumerate(texts)], columns=["doc_id", "source", "lang", "text"])
+    con = duckdb.connect()
+    con.register("documents", docs)
+    want = sorted(map(str, con.execute(licences.oracle()).fetchall()))
+    files = spark.createDataFrame([(i, f"s{i % 3}/en/{i}", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    assert sorted(str((r["doc_id"], r["licence"], r["score"], r["via"], r["licence_dir"])) for r in licences.scan(files).collect()) == want
+
+
 def test_cosines_equal_a_plain_computation(spark):
     import collections
     import math
