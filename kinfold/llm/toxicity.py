@@ -8,9 +8,10 @@ search finds the likeliest reading under channel and model. A text is scored on
 words and on what its lattices read.
 
 The classifier is fitted on a bounded sample of labelled rows (TRAIN_ROWS, by a hash
-of the id): words and word beginnings whose document counts differ between labels by
-more than chance allows among so many candidates get a log odds weight, and a
-logistic curve maps a text's sum of weights to a probability. Labels only come from
+of the id), in which equal texts count once: words and word beginnings whose document
+counts differ between labels by more than chance allows among so many candidates weigh
+their log odds less one standard error, if that is more than nothing, and a logistic
+curve maps a text's sum of weights to a probability. Labels only come from
 rows that aren't held out (crc32 of the id as text, modulo 5, is not 0); label,
 language, source and id are never inputs of a score.
 
@@ -35,10 +36,8 @@ from pyspark.sql import functions as F
 from kinfold.llm._tables import frugal, once, texts_of, two
 from kinfold.runtime import written_table
 
-#: Labelled rows that the classifier is fitted on at most; features that it may have.
-TRAIN_ROWS, FEATURES = 20_000, 20_000
-#: Log odds that a feature needs at least: what is merely a little more common among toxic rows, as words of a group of copies are, is no evidence.
-LEAST_ODDS = 4.5
+#: Labelled rows that the classifier is fitted on at most. Its features are words of these, so their number is bounded too.
+TRAIN_ROWS = 20_000
 #: Symbols of the character model: 0 anything but letters, 1 to 26 a to z, 27 other letters.
 SYMBOLS = 28
 #: What a written sign may stand for, fixed values.
@@ -192,10 +191,10 @@ def fit(docs: DataFrame, labels: DataFrame, model: list[float], label: str = "to
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([sorted(reader.features(x or "")) for x in part.column(2).to_pylist()], pa.list_(pa.string()))], names=["l_id", "y", "features"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([sorted(reader.features(x or "")) for x in part.column(2).to_pylist()], pa.list_(pa.string()))], names=["row", "y", "features"])
 
-    seen = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("l_id", "y", "text").mapInArrow(frugal(featured), "l_id long, y int, features array<string>")
-    seen = written_table(seen.withColumn("row", F.monotonically_increasing_id()))
+    once_each = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).groupBy(F.xxhash64("text").alias("h")).agg(F.min("l_id").alias("l_id"), F.max("y").alias("y"), F.first("text").alias("text"))
+    seen = written_table(once_each.select("l_id", "y", "text").mapInArrow(frugal(featured), "row long, y int, features array<string>"))
     n = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
@@ -207,14 +206,14 @@ def fit(docs: DataFrame, labels: DataFrame, model: list[float], label: str = "to
     a, b = F.col("a"), F.col("b")
     share = (a + b) / (n1 + n0)
     rest = part(F.lit(n1) - a, (1 - share) * n1) + part(F.lit(n0) - b, (1 - share) * n0)
-    odds = F.log((a + 0.5) / (n1 + 1.0)) - F.log((b + 0.5) / (n0 + 1.0))
+    odds = F.log((a + 0.5) / (n1 + 1.0)) - F.log((b + 0.5) / (n0 + 1.0)) - F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     bound = 2 * math.log(max(2, candidates)) + 2
-    chosen = counts.withColumn("g", 2 * (part(a, share * n1) + part(b, share * n0) + rest)).withColumn("w", odds).filter((F.col("g") > bound) & (F.col("w") > LEAST_ODDS)).orderBy(F.desc("g"), "f").limit(FEATURES).select("f", "w")
+    chosen = counts.withColumn("g", 2 * (part(a, share * n1) + part(b, share * n0) + rest)).withColumn("w", odds).filter((F.col("g") > bound) & (F.col("w") > 0)).select("f", "w")
+    chosen = written_table(chosen)
     weights = {r["f"]: r["w"] for r in chosen.collect()}
-    table = F.broadcast(chosen.withColumnRenamed("f", "_f"))  # FEATURES rows at most
+    table = F.broadcast(chosen.withColumnRenamed("f", "_f"))  # words of TRAIN_ROWS texts that tell labels apart
     sums = seen.select("row", "y", F.explode_outer("features").alias("f")).join(table, F.col("f") == F.col("_f"), "left").groupBy("row", "y").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("x")).select("x", "y").collect()  # train_rows rows at most
-    # evidence of unlike strength ends in the same place: only its logarithm goes into the curve
-    slope, offset = _curve(np.log1p([r["x"] for r in sums]), np.array([r["y"] for r in sums], float))
+    slope, offset = _curve(np.array([r["x"] for r in sums], float), np.array([r["y"] for r in sums], float))
     return weights, slope, offset
 
 
@@ -229,7 +228,7 @@ def scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
         if reader.model != model:  # of another corpus
             reader.__init__(model)
         sums = np.array([sum(weights[f] for f in sorted(reader.features(x) & weights.keys())) for x in texts_of(texts)], float)
-        return 1 / (1 + np.exp(-np.clip(slope * np.log1p(sums) + offset, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(slope * sums + offset, -50, 50)))
 
     return scored
 
