@@ -17,10 +17,13 @@ near copies never becomes all its pairs.
 
 near_duplicates() links fingerprints by distance alone. one_of_each() links texts alike
 to ALIKE in their sets of five-word shingles, and only these: the trees over PRINTS
-independent fingerprints of a set find candidates within a wider radius, and the sets
-themselves decide on each. A first round decides on a spanning forest of each shard's
-candidates, closest first; a second one on every candidate whose ends the first has
-not brought into one class, so that no forest's choice can cost a link.
+independent fingerprints of a set find candidates within a wider radius, which all
+fingerprints together confirm, and the sets themselves decide. Texts that chains of
+candidates connect are a group; the sets of a group of up to GROUP shingles meet in one
+task, which compares them through an index of their common shingles and returns only a
+spanning forest of the links. A larger group is split: its candidates are dealt as
+pairs, first a spanning forest of them, closest first, then every candidate whose ends
+the first has not brought into one class, so that no forest's choice can cost a link.
 
 Defined results: null, empty and blank texts have no words, hence fingerprint zero,
 and are linked with each other like any others. Repeated rows are judged row by row.
@@ -38,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._tables import frugal, texts_of, two
+from kinfold.llm._tables import column, free_names, frugal, texts_of, two
 from kinfold.operators.graph import connected_components
 from kinfold.runtime import written_table
 
@@ -53,10 +56,11 @@ def blocks(radius: int) -> list[int]:
 
 
 #: For one_of_each: the least Jaccard similarity of a link; fingerprints of a set, and the bits that a pair alike to ALIKE may
-#: differ in, in one of them at least (9.7 of 64 on average at 0.8, with a standard deviation of 2.9).
-ALIKE, PRINTS, WIDE = 0.8, 4, 12
-#: Bytes of a sketch and the share of them that verified_search() asks for.
-SKETCH, SURE = 128, 0.765
+#: differ in, in one of them at least (9.7 of 64 on average at 0.8, with a standard deviation of 2.9) and in all of them together
+#: (38.8 of 256, 5.7): strangers differ in half of all bits, so hardly one of them is a candidate, however many there are.
+ALIKE, PRINTS, WIDE, TOGETHER = 0.8, 4, 12, 60
+#: Shingles of a group whose sets meet in one task.
+GROUP = 1 << 20
 #: Fingerprints sampled for the routing levels; stored in a shard on average; compared at once in a leaf.
 SAMPLE, SHARD, LEAF = 8192, 50_000, 1 << 18
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -105,21 +109,6 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) + len(b) else 1.0
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """One byte for each of SKETCH bins of the five-word shingles' hashes (two neighbouring four-word shingles make one): of its
-    least hash, an empty bin's from the next one that isn't. Equal bytes estimate the share of common shingles."""
-    if not len(hashes):
-        return bytes(SKETCH)
-    five = fives(hashes)
-    starts = np.arange(SKETCH, dtype=np.uint64) << np.uint64(57)
-    at = np.searchsorted(five, starts)
-    # an empty bin's search ends at the least hash of the next bin that has one; past the end, at the first of all
-    least = five[at % len(five)]
-    away = (least >> np.uint64(57)) - np.arange(SKETCH, dtype=np.uint64)
-    mixed = (least + away * np.uint64(0x94D049BB133111EB)) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(56)).astype(np.uint8).tobytes()
-
-
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, k, text -> doc_id, k, fp."""
     for batch in batches:
@@ -145,7 +134,7 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b and both sets -> a, b of the pairs alike to ALIKE."""
     for batch in batches:
-        sure = [similarity(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) >= ALIKE for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+        sure = [similarity(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) >= ALIKE - 1e-9 for x, y in zip(batch.column(2), batch.column(3), strict=True)]
         yield batch.select([0, 1]).filter(pa.array(sure, pa.bool_()))
 
 
@@ -264,25 +253,6 @@ def search(stored: np.ndarray, asking: np.ndarray, mask: int, forest: Forest, ra
         _leaf(stored, asking, forest, radius)
 
 
-def _verified_leaf(stored: np.ndarray, asking: np.ndarray, fps: np.ndarray, sketches: np.ndarray, forest: Forest, radius: int) -> None:
-    """As _leaf for places in fps, a link needing sketches that agree. Classes that have been joined are not compared again."""
-    every = np.concatenate([stored, asking])
-    own, least = fps[every], SURE * SKETCH
-    step = max(1, 4 * LEAF // len(every))
-    classes = np.arange(len(every))
-    for start in range(0, len(stored), step):
-        near = np.bitwise_count(own[start : min(start + step, len(stored)), None] ^ own[None, :]) <= radius
-        for i in np.flatnonzero(near.sum(1) > 1) + start:
-            others = np.flatnonzero(near[i - start] & (classes != classes[i]))
-            if not len(others):
-                continue
-            others = others[(sketches[every[others]] == sketches[every[i]]).sum(1) >= least]
-            for j in others:
-                if classes[j] != classes[i]:
-                    forest.join(int(every[i]), int(every[j]))
-                    classes[classes == classes[j]] = classes[i]
-
-
 def leaves(fps: np.ndarray, own: np.ndarray, mask: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(stored, asking): the leaves of the tree that search() walks, as places in fps."""
     work = [(np.flatnonzero(own), np.flatnonzero(~own))]
@@ -303,15 +273,9 @@ def leaves(fps: np.ndarray, own: np.ndarray, mask: int) -> Iterator[tuple[np.nda
         yield stored, asking
 
 
-def verified_search(fps: np.ndarray, sketches: np.ndarray, own: np.ndarray, mask: int, forest: Forest, radius: int) -> None:
-    """As search, over places in fps."""
-    for stored, asking in leaves(fps, own, mask):
-        _verified_leaf(stored, asking, fps, sketches, forest, radius)
-
-
-def candidates(fps: np.ndarray, sizes: np.ndarray, classes: np.ndarray, own: np.ndarray, mask: int, radius: int, forest: Forest | None) -> Iterator[np.ndarray]:
-    """Pairs of places within the radius whose classes differ and whose sizes allow ALIKE: all of them, or those that join classes
-    of the forest, the closest of each block of rows first."""
+def candidates(fps: np.ndarray, every_print: np.ndarray, sizes: np.ndarray, classes: np.ndarray, own: np.ndarray, mask: int, radius: int, forest: Forest | None) -> Iterator[np.ndarray]:
+    """Pairs of places within the radius, and within TOGETHER in all prints, whose classes differ and whose sizes allow ALIKE: all of
+    them, or those that join classes of the forest, the closest of each block of rows first."""
     for stored, asking in leaves(fps, own, mask):
         every = np.concatenate([stored, asking])
         step = max(1, 4 * LEAF // len(every))
@@ -319,16 +283,15 @@ def candidates(fps: np.ndarray, sizes: np.ndarray, classes: np.ndarray, own: np.
             joined = np.array([forest.root(x) for x in every.tolist()])
         for at in range(0, len(stored), step):
             some = stored[at : at + step, None]
-            far = np.bitwise_count(fps[some] ^ fps[every])
-            near = (far <= radius) & (classes[some] != classes[every])
+            near = (np.bitwise_count(fps[some] ^ fps[every]) <= radius) & (classes[some] != classes[every])
             # one after another among the stored: each pair once
             near &= np.arange(at, at + len(some))[:, None] < np.arange(len(every))
             if forest is not None:
                 near &= joined[at : at + len(some), None] != joined
             i, j = np.nonzero(near)
-            far = far[i, j]
             i, j = stored[i + at], every[j]
-            fit = np.minimum(sizes[i], sizes[j]) >= ALIKE * np.maximum(sizes[i], sizes[j]) - 1e-9
+            far = np.bitwise_count(every_print[i] ^ every_print[j]).sum(axis=1, dtype=np.int64)
+            fit = (far <= TOGETHER) & (np.minimum(sizes[i], sizes[j]) >= ALIKE * np.maximum(sizes[i], sizes[j]) - 1e-9)
             i, j, far = i[fit], j[fit], far[fit]
             if forest is None:
                 yield np.c_[i, j]
@@ -341,17 +304,65 @@ def candidates(fps: np.ndarray, sizes: np.ndarray, classes: np.ndarray, own: np.
                     yield np.array(forest.links[before:], np.int64)
 
 
+def alike_in(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Places of a spanning forest of the pairs of sets alike to ALIKE. An index of the shingles that several sets have counts what
+    each set has in common with all before it."""
+    forest, n = Forest(), len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(n), sizes)
+    _, at, often = np.unique(np.concatenate(sets) if n else np.zeros(0, "<u8"), return_inverse=True, return_counts=True)
+    order = np.argsort(at, kind="stable")
+    postings, starts = owner[order], np.cumsum(often) - often
+    place = np.empty(len(at), np.int64)  # of each set's shingle among those who have it: those before it are the sets before this one
+    place[order] = np.arange(len(at))
+    first = np.cumsum(sizes) - sizes
+    empty = np.flatnonzero(sizes == 0)
+    for x in empty[1:].tolist():
+        forest.join(int(empty[0]), x)
+    for x in range(n):
+        some = slice(first[x], first[x] + sizes[x])
+        low, count = starts[at[some]], place[some] - starts[at[some]]
+        if not count.any():
+            continue
+        index = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        common = np.bincount(postings[index], minlength=x)
+        y = np.flatnonzero(common)
+        y = y[common[y] >= ALIKE * (sizes[x] + sizes[y] - common[y]) - 1e-9]
+        for other in y.tolist():
+            forest.join(other, x)
+    return forest.links
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """group, node, set, in the order of group -> a, b: links within each group."""
+    group, nodes, sets = None, [], []
+
+    def solved() -> Iterator[pa.RecordBatch]:
+        found = alike_in([np.frombuffer(x, "<u8") for x in sets])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in found], pa.int64()), pa.array([nodes[y] for _, y in found], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for g, node, held in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if g != group:
+                yield from solved()
+                group, nodes, sets = g, [], []
+            nodes.append(node)
+            sets.append(held)
+    yield from solved()
+
+
 def _solver(radius: int, wide: bool, spanning: bool):
-    """The worker that turns shards, in their order, into links: shard, fp, stored[, node, size, class] -> a, b, each shard's spanning
-    forest; wide: its candidates, or a spanning forest of them."""
+    """The worker that turns shards, in their order, into links: shard, fp, stored[, node, size, class, all prints] -> a, b, each
+    shard's spanning forest; wide: its candidates, or a spanning forest of them."""
     masks = blocks(radius)
 
     def solve(shard: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         fps, own = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
         mask = masks[shard % len(masks)]
         if wide:
-            nodes, sizes, classes = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
-            found = (np.sort(nodes[x], axis=1) for x in candidates(fps, sizes, classes, own, mask, radius, Forest() if spanning else None))
+            nodes, sizes, classes, *every = (np.concatenate([p[i] for p in parts]) for i in range(2, 5 + PRINTS))
+            found = (np.sort(nodes[x], axis=1) for x in candidates(fps, np.stack(every, axis=1).view(np.uint64), sizes, classes, own, mask, radius, Forest() if spanning else None))
         else:
             forest = Forest()
             search(fps[own], fps[~own], mask, forest, radius)
@@ -396,7 +407,8 @@ def links(unique: DataFrame, count: int, radius: int = RADIUS, wide: bool = Fals
     seen = np.array(sample, np.int64).reshape(-1, n).view(np.uint64)
     masks = blocks(radius)
     routers = [(i, Router(np.ascontiguousarray(seen[:, i]), mask, min(levels, 40))) for i in range(n) for mask in masks]
-    more = ["node", "size", "class"] if wide else []
+    prints = [f"fp{i}" for i in range(n)]
+    more = ["node", "size", "class", *prints] if wide else []
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,9 +416,10 @@ def links(unique: DataFrame, count: int, radius: int = RADIUS, wide: bool = Fals
             for tree, (of_print, router) in enumerate(routers):
                 fps = columns[of_print]
                 for shard, rows, stored in router.route(fps):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), len(routers) * shard + tree, np.int64)), pa.array(fps[rows].view(np.int64)), pa.array(stored), *[c.take(pa.array(rows)) for c in batch.columns[n:]]], names=["shard", "fp", "stored", *more])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), len(routers) * shard + tree, np.int64)), pa.array(fps[rows].view(np.int64)), pa.array(stored), *[c.take(pa.array(rows)) for c in (batch.columns[n:] + batch.columns[:n] if wide else [])]], names=["shard", "fp", "stored", *more])
 
-    dealt = unique.select(*[of(i).alias(f"fp{i}") for i in range(n)], *more).mapInArrow(frugal(route), "shard long, fp long, stored boolean" + ", node long, size int, class long" * wide)
+    kinds = "shard long, fp long, stored boolean" + (", node long, size int, class long, " + ", ".join(f"{x} long" for x in prints)) * wide
+    dealt = unique.select(*[of(i).alias(x) for i, x in enumerate(prints)], *more[:3]).mapInArrow(frugal(route), kinds)
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(frugal(_solver(radius, wide, spanning)), "a long, b long").distinct()
 
 
@@ -441,11 +454,28 @@ def _alike_classes(docs: DataFrame, key: str, text: str, radius: int) -> DataFra
     count = unique.count()
     first = written_table(links(unique.withColumn("class", F.col("node")), count, radius, wide=True))
     # only what has a candidate goes on: its set is made again from the text of its first row
-    ends = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
-    close = written_table(unique.join(ends, "node", "left_semi"), count)
+    groups = connected_components(first, "a", "b", at_most=3 * count).withColumnRenamed("component", "group")
+    close = written_table(unique.join(groups, "node"), count)
+    n = close.count()
     wanted = close.select("node", F.coalesce("least.doc_id", F.lit(0)).alias("i"), F.col("least.no_id").alias("no"), F.col("least.k").alias("k"))
     texts = rows.withColumn("i", F.coalesce("doc_id", F.lit(0))).withColumn("no", F.col("doc_id").isNull()).join(wanted, ["i", "no", "k"]).select("node", "text")
     sets = written_table(texts.mapInArrow(frugal(_whole_sets), "node long, set binary").dropDuplicates(["node"]))
+    large = written_table(close.groupBy("group").agg(F.sum("size").alias("shingles")).filter(F.col("shingles") > GROUP).select("group"), n)
+    # groups' sets meet by group, small ones only; tables of their own let a join split what is hot
+    met = close.join(large, "group", "left_anti").select("group", "node").join(sets, "node").select("group", "node", "set")
+    linked = met.repartition("group").sortWithinPartitions("group").mapInArrow(frugal(_decided), "a long, b long")
+    linked = written_table(linked)
+    hot = large.count()
+    if hot:
+        linked = linked.unionByName(_links_of_large(close.join(large, "group", "left_semi"), first, sets, radius))
+    return _first_rows(unique, connected_components(linked, "a", "b", at_most=count), count)
+
+
+def _links_of_large(close: DataFrame, first: DataFrame, sets: DataFrame, radius: int) -> DataFrame:
+    """(a, b): the links of groups whose sets are too many for a task, by pairs of candidates."""
+    close = written_table(close)
+    n = close.count()
+    first = written_table(first.join(close.select(F.col("node").alias("a")), "a", "left_semi"))
 
     def sure(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a")
@@ -453,12 +483,10 @@ def _alike_classes(docs: DataFrame, key: str, text: str, radius: int) -> DataFra
         return written_table(both.mapInArrow(frugal(_alike), "a long, b long"))
 
     linked = sure(first)
-    n = close.count()
-    named = connected_components(linked, "a", "b", at_most=linked.count()).withColumnRenamed("component", "class")
+    named = connected_components(linked, "a", "b", at_most=n).withColumnRenamed("component", "class")
     held = written_table(close.join(named, "node", "left").withColumn("class", F.coalesce("class", "node")), n)
     rest = links(held, n, radius, wide=True, spanning=False).join(first, ["a", "b"], "left_anti")
-    every = linked.unionByName(sure(rest))
-    return _first_rows(unique, connected_components(every, "a", "b"), count)
+    return linked.unionByName(sure(rest))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -470,8 +498,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = WIDE) -> DataFrame:
     """One row of docs, with all its columns, for each class of texts alike to ALIKE in their five-word shingles: that with the
     smallest id (null ids last, then by a hash of the text). Candidates are searched within the radius; the sets decide."""
-    first = _alike_classes(docs, key, text, radius).select(F.coalesce("first.doc_id", F.lit(0)).alias("_key"), F.col("first.no_id").alias("_no"), F.col("first.k").alias("_text")).distinct()
-    own = F.col(key).cast("long")
-    marked = docs.withColumn("_key", F.coalesce(own, F.lit(0))).withColumn("_no", own.isNull()).withColumn("_text", F.xxhash64(F.col(text).cast("string")))
+    own, no_id, hashed = names = free_names(docs, "id", "no", "k")
+    first = _alike_classes(docs, key, text, radius).select(F.coalesce("first.doc_id", F.lit(0)).alias(own), F.col("first.no_id").alias(no_id), F.col("first.k").alias(hashed)).distinct()
+    known = column(key).cast("long")
+    marked = docs.withColumns({own: F.coalesce(known, F.lit(0)), no_id: known.isNull(), hashed: F.xxhash64(column(text).cast("string"))})
     # one dealing by these three serves the join and the repeated rows
-    return marked.join(first, ["_key", "_no", "_text"], "left_semi").dropDuplicates(["_key", "_no", "_text"]).drop("_key", "_no", "_text")
+    return marked.join(first, names, "left_semi").dropDuplicates(names).drop(*names)
