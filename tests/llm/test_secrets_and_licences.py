@@ -2,7 +2,7 @@ import random
 import re
 
 import pytest
-from texts import corpus, frame
+from texts import corpus, frame, sentence
 
 from kinfold.llm import licences, secrets
 
@@ -61,6 +61,53 @@ def test_redaction_keeps_everything_else(spark):
             assert texts[i] == t
 
 
+def test_the_model_equals_a_plain_one(spark):
+    """Log-likelihood ratios of all steps and tokens, computed from counts in plain Python."""
+    import collections
+    import math
+
+    r = random.Random(11)
+    keys = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n)) for n in (12, 13, 14, 16, 19, 24, 40)]
+    letters = "".join(r.choice("bcdfghjkqvwxzBCDFGHJKQVWXZ") for _ in range(22))
+    rows = [*samples(), *[(6000 + i, f"key {x}, {x[:11]} end") for i, x in enumerate([*keys, letters])]]
+    rows += [(6100 + i, "token=" + "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))) for i in range(300)]
+    rows += [(6500 + i, sentence(r, 200).title() + " " + sentence(r, 400)) for i in range(20)] + [(6200, f"0123456789abcdef{keys[5]} {keys[5]}ZZ0123456789abcdef0")]
+    base_of = re.compile(secrets.BASE)
+    texts = [t or "" for _, t in rows]
+    random_values, ordinary = [], []
+    for t in texts:
+        random_values += [m[2] for m in ASSIGN.finditer(t) if len(m[2]) >= 12] + [m[0] for p, n in (("AKIA[A-Z0-9]+", 18), ("[0-9a-f]+", 16)) for m in re.finditer(p, t) if len(m[0]) >= n]
+    for t in set(texts):
+        ordinary += [w for w in re.split(r"[^A-Za-z0-9+/_=.-]+", t) if len(w) > 3 and not base_of.search(w) and not re.search(secrets.SUSPECT, w)]
+    # repeated rows are counted as often as they stand
+    ordinary += [w for i, t in enumerate(texts) if t in texts[:i] for w in re.split(r"[^A-Za-z0-9+/_=.-]+", t) if len(w) > 3 and not base_of.search(w) and not re.search(secrets.SUSPECT, w)]
+    count = lambda values: collections.Counter(v[i : i + 2] for v in values for i in range(len(v) - 1))
+    known = secrets.ALPHABET
+    a, b = ({x + y: c[x + y] for x in known for y in known} for c in (count(random_values), count(ordinary)))
+    rate = lambda c, step: (c[step] + secrets.PRIOR) / (sum(c[step[0] + y] for y in known) + secrets.PRIOR * len(known))
+    llr = {step: math.log(rate(a, step) / rate(b, step)) for step in a}
+    want = []
+    for i, t in rows:
+        spans, end = [], 0
+        for piece, start in [(p, s) for p, s in zip(base_of.split(t or ""), [0, *[m.end() for m in base_of.finditer(t or "")]], strict=True)]:
+            for m in re.finditer(secrets.TOKEN, piece):
+                steps = [llr[m[0][j : j + 2]] for j in range(len(m[0]) - 1)]
+                if sum(steps) >= secrets.LEAST and sum(steps) / len(steps) >= secrets.LEAST_STEP:
+                    spans.append((start + m.start(), start + m.end()))
+        want.append((str(i), sorted(spans)))
+    got = [(str(x["doc_id"]), sorted((y["s"], y["e"]) for y in x["model"])) for x in secrets.scan(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted(want)
+    found = {i for i, s in want if s}
+    assert {"6005", "6006"} <= found and not found & {str(6500 + i) for i in range(20)}
+    assert len(dict(want)["6200"]) == 2
+
+
+def test_redaction_with_names_of_its_own(spark):
+    docs = frame(spark, samples()).withColumnsRenamed({"text": "a.b", "score": "_spans", "k": "_k", "ids": "_id"})
+    got = secrets.redact(docs, text="a.b")
+    assert got.columns == docs.columns and sorted(str(r["a.b"]) for r in got.collect()) == sorted(str(r["text"]) for r in secrets.redact(frame(spark, samples())).collect())
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "no secrets here"), (1, "no secrets here")]])
 def test_texts_without_secrets(spark, rows):
     docs = frame(spark, rows)
