@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from texts import corpus, frame
 
 from kinfold.llm import neardup, repeats
@@ -78,34 +79,28 @@ def test_one_of_each_class(spark):
     copies_are_gone(rows, [(r["doc_id"], r["text"]) for r in kept.collect()])
 
 
-def test_a_dense_leaf_is_searched_whole(monkeypatch):
-    monkeypatch.setattr(neardup, "LEAF", 1 << 10)
-    hashes = [neardup.shingles(t) for _, t in near_copies(5, 120)]
-    fps, sketches = np.array([neardup.fingerprint(h) for h in hashes], np.uint64), np.array([list(neardup.sketch(h)) for h in hashes], np.uint8)
-    found, truth = neardup.Forest(), neardup.Forest()
-    for tree, mask in enumerate(neardup.blocks(12)):
-        for _, rows, stored in neardup.Router(fps[:60], mask, 2).route(fps):
-            part = neardup.Forest()
-            neardup.verified_search(fps[rows], sketches[rows], stored, mask, part, 12)
-            for a, b in part.links:
-                found.join(int(rows[a]), int(rows[b]))
-    for i in range(len(fps)):
-        for j in range(i):
-            if bin(int(fps[i] ^ fps[j])).count("1") <= 12 and (sketches[i] == sketches[j]).sum() >= neardup.SURE * neardup.SKETCH:
-                truth.join(i, j)
-    assert all(found.root(i) == truth.root(i) for i in range(len(fps)))
+def test_one_of_each_with_names_of_its_own(spark):
+    rows = [*corpus(), *near_copies(n=5)]
+    docs = frame(spark, rows).withColumnsRenamed({"text": "te.xt", "score": "_id", "ids": "_no", "k": "_k"})
+    kept = neardup.one_of_each(docs, text="te.xt")
+    assert kept.columns == docs.columns
+    assert sorted(str(r["te.xt"]) for r in kept.collect()) == sorted(str(r["text"]) for r in neardup.one_of_each(frame(spark, rows)).collect())
 
 
-def test_sketches_estimate_similarity():
-    r = random.Random(8)
-    words = [f"w{r.randrange(5000)}" for _ in range(600)]
-    for changes in (0, 5, 20, 60):
-        other = list(words)
-        for _ in range(changes):
-            other[r.randrange(600)] = f"n{r.random()}"
-        a, b = (neardup.sketch(neardup.shingles(" ".join(x))) for x in (words, other))
-        same = sum(x == y for x, y in zip(a, b, strict=True)) / neardup.SKETCH
-        assert abs(same - alike(" ".join(words), " ".join(other))) < 0.16
+def test_an_index_of_shingles_links_what_all_pairs_link():
+    for seed in range(8):
+        texts = [t for _, t in near_copies(seed, 80)] + ["", " ", "one two", "one two"] + [t for p in around(seed, n=20) for t in p]
+        sets = [neardup.fives(neardup.shingles(t)) for t in texts]
+        found, truth = neardup.Forest(), neardup.Forest()
+        for a, b in neardup.alike_in(sets):
+            assert neardup.similarity(sets[a], sets[b]) >= neardup.ALIKE - 1e-9
+            found.join(a, b)
+        for i in range(len(sets)):
+            for j in range(i):
+                if neardup.similarity(sets[i], sets[j]) >= neardup.ALIKE - 1e-9:
+                    truth.join(i, j)
+        assert all(found.root(i) == truth.root(i) for i in range(len(sets)))
+    assert neardup.alike_in([]) == []
 
 
 def test_the_trees_find_every_link(monkeypatch):
@@ -137,40 +132,86 @@ def test_the_trees_find_every_link(monkeypatch):
         assert all(found.root(int(x)) == truth.root(int(x)) for x in fps)
 
 
-def without_repeats(rows, span=400):
-    data = [(t or "").encode() for _, t in rows]
+def pieces(data, rule):
+    """The elements of a text, and where each starts and ends."""
+    if rule.words:
+        found = [(m[0], m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    else:
+        found = [(data[i : i + 1], i, i + 1) for i in range(len(data))]
+    return [x for x, _, _ in found], [a for _, a, _ in found], [b for _, _, b in found]
+
+
+def runs_of_repeats(rows, rule):
+    """The maximal runs of elements, by document, that long strings cover which start elsewhere too."""
+    parts = [pieces((t or "").encode(), rule)[0] for _, t in rows]
     count = {}
-    for b in data:
-        for i in range(len(b) - span + 1):
-            count[b[i : i + span]] = count.get(b[i : i + span], 0) + 1
+    for x in parts:
+        for i in range(len(x) - rule.span + 1):
+            w = tuple(x[i : i + rule.span]) if rule.words else b"".join(x[i : i + rule.span])
+            count[w] = count.get(w, 0) + 1
     out = []
-    for (doc, _), b in zip(rows, data, strict=True):
-        hit = np.zeros(len(b) + 1, int)
-        for i in range(len(b) - span + 1):
-            if count[b[i : i + span]] > 1:
-                hit[i] += 1
-                hit[i + span] -= 1
-        gone = np.cumsum(hit[:-1]) > 0
-        runs = int((gone[1:] & ~gone[:-1]).sum() + (gone[0] if len(gone) else 0))
-        out.append((str(doc), len(b), int(gone.sum()), runs, np.frombuffer(b, np.uint8)[~gone].tobytes()))
+    for x in parts:
+        gone = np.zeros(len(x) + 2, bool)
+        for i in range(len(x) - rule.span + 1):
+            if count[tuple(x[i : i + rule.span]) if rule.words else b"".join(x[i : i + rule.span])] > 1:
+                gone[i + 1 : i + 1 + rule.span] = True
+        edges = np.flatnonzero(gone[1:] != gone[:-1]).reshape(-1, 2)
+        out.append([(int(a), int(b)) for a, b in edges])
+    return out
+
+
+def without_repeats(rows, rule=repeats.BYTES):
+    out = []
+    for (doc, t), runs in zip(rows, runs_of_repeats(rows, rule), strict=True):
+        data = (t or "").encode()
+        _, low, high = pieces(data, rule)
+        spans = [(low[a], high[b - 1]) for a, b in runs]
+        edges = [0, *[x for s in spans for x in s], len(data)]
+        kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+        out.append((str(doc), len(data), len(data) - len(kept), len(runs), kept))
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_repeats_equal_brute_force(spark, monkeypatch, hot):
+def with_a_common_passage():
+    """The corpus, and half as many rows that hold one passage of 60 words, each among other words."""
+    r = random.Random(9)
+    passage = " ".join(f"{r.choice('abcdefg')}{r.randrange(900)}" for _ in range(60)) + " " + "common " * 4
+    others = [f"o{r.randrange(9000)}" for _ in range(400)]
+    shared = [(300 + i, " ".join(r.choices(others, k=30 + i)) + "\n" + passage * (1 + i % 2) + " ".join(r.choices(others[: 3 + i], k=60))) for i in range(30)]
+    return [*corpus(), *shared, (200, "ab" * 900), (201, "q" * 399), (202, "z" * 400), (203, "z" * 401), (204, "w " * 49), (205, "v " * 120)]
+
+
+@pytest.mark.parametrize("rule", [repeats.BYTES, repeats.PASSAGES])
+@pytest.mark.parametrize("hot", [1 << 14, 8, 1])
+def test_repeats_equal_brute_force(spark, monkeypatch, hot, rule):
     monkeypatch.setattr(repeats, "HOT", hot)
-    rows = [*corpus(), (200, "ab" * 900), (201, "q" * 399), (202, "z" * 400), (203, "z" * 401)]
-    got = repeats.remove_repeats(frame(spark, rows)).collect()
-    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == without_repeats(rows)
+    rows = with_a_common_passage()
+    other = repeats.PASSAGES if rule is repeats.BYTES else repeats.BYTES
+    got = repeats.remove_repeats(frame(spark, rows), rule=rule, passages=other).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == without_repeats(rows, rule)
+    assert sorted((str(r["doc_id"]), r["n_passages"]) for r in got) == sorted((str(i), len(x)) for (i, _), x in zip(rows, runs_of_repeats(rows, other), strict=True))
 
 
 def test_repeats_carry_columns_and_text(spark):
     rows = corpus()
-    got = repeats.remove_repeats(frame(spark, rows), carry=["score", "ids"], as_text=True)
+    docs = frame(spark, rows).withColumn("a.b", F.lit(1)).withColumn("ranges", F.lit(2))
+    got = repeats.remove_repeats(docs, carry=["score", "ids", "a.b", "ranges"], as_text=True)
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "carried"]
+    assert got.schema["carried"].dataType.names == ["score", "ids", "a.b", "ranges"]
     assert sorted(r["kept"] for r in got.collect()) == sorted(b.decode("utf-8", "ignore") for *_, b in without_repeats(rows))
 
 
+def test_words_are_hashed_by_their_bytes_alone():
+    texts = ["one two", "two", "", " \t", "é one", "two\x0btwo"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    starts = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    values, low, high = repeats.words_of(data, starts)
+    words = [data[a:b].tobytes() for a, b in zip(low, high, strict=True)]
+    assert words == b"one two two \xc3\xa9 one two two".split()
+    assert {(w, int(v)) for w, v in zip(words, values, strict=True)} == {(w, int(repeats.words_of(np.frombuffer(w, np.uint8), np.zeros(1, int))[0][0])) for w in words}
+    assert repeats.elements(data, starts, repeats.PASSAGES)[1].tolist() == [0, 2, 3, 3, 3, 5, 7]
+
+
 def test_extents_equal_all_pairs():
     for seed in range(200):
         r = random.Random(seed)
@@ -192,13 +233,14 @@ def test_extents_equal_all_pairs():
             assert {x for _, before, after in found for x in range(-before, after)} == want
 
 
-def test_a_text_longer_than_the_index(monkeypatch):
-    """Anchors of a text in overlapping pieces are those of the whole."""
+def test_a_text_longer_than_the_index():
+    """Anchors of texts in overlapping pieces are those of the whole."""
     data = np.random.default_rng(1).integers(97, 123, 40_000).astype(np.uint8)
-    whole, _ = repeats.anchors(data, [(0, len(data))])
-    size = 8192
-    parts = [p + lo for lo in range(0, len(data), size - 2 * repeats.SPAN) for p in repeats.anchors(data[lo : min(lo + size - repeats.SPAN, len(data))], [(0, min(size - repeats.SPAN, len(data) - lo))])[0]]
-    assert sorted(set(parts)) == whole.tolist()
+    starts = np.array([0, 500, 700, 40_000])
+    values = repeats.elements(data, starts, repeats.BYTES)[0]
+    whole = repeats.every_anchor(values, starts, repeats.BYTES)
+    parts = repeats.every_anchor(values, starts, repeats.BYTES, most=8192)
+    assert parts[0].tolist() == whole[0].tolist() and parts[1].tolist() == whole[1].tolist()
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "short")]])
@@ -208,8 +250,6 @@ def test_tables_without_copies(spark, rows):
 
 
 def test_digest_of_the_query(spark):
-    from pyspark.sql import functions as F
-
     rows = [(1, "é" * 10)]
     got = repeats.remove_repeats(frame(spark, rows)).select(F.sha2("kept", 256)).first()[0]
     assert got == hashlib.sha256(("é" * 10).encode()).hexdigest()
@@ -237,12 +277,15 @@ def around(seed, lengths=(12, 20, 50, 100, 300), n=60):
 def test_fingerprints_lose_hardly_a_pair_alike_to_four_fifths():
     pairs = [p for p in around(11, n=900) if 0.8 <= alike(*p) < 0.85]
     prints = [[neardup.prints(neardup.fives(neardup.shingles(t))) for t in p] for p in pairs]
-    found = sum(min(bin(x ^ y).count("1") for x, y in zip(a, b, strict=True)) <= neardup.WIDE for a, b in prints)
+    bits = [[bin(x ^ y).count("1") for x, y in zip(a, b, strict=True)] for a, b in prints]
+    found = sum(min(x) <= neardup.WIDE and sum(x) <= neardup.TOGETHER for x in bits)
     assert len(pairs) > 150 and found >= 0.99 * len(pairs)
 
 
-def test_one_of_each_is_exact_about_four_fifths(spark):
+@pytest.mark.parametrize("group", [1 << 20, 500])
+def test_one_of_each_is_exact_about_four_fifths(spark, monkeypatch, group):
     """Kept is the first row of each component of the links at 0.8 or more, and nothing under 0.8 is lost, at any length."""
+    monkeypatch.setattr(neardup, "GROUP", group)
     texts = [t for p in around(12, n=120) for t in p]
     r = random.Random(13)
     base = [f"b{r.randrange(5000)}" for _ in range(100)]
@@ -272,16 +315,17 @@ def test_one_of_each_is_exact_about_four_fifths(spark):
 def test_candidates_of_shards_are_whole(monkeypatch, leaf):
     monkeypatch.setattr(neardup, "LEAF", leaf)
     sets = [neardup.fives(neardup.shingles(t)) for _, t in near_copies(6, 150)]
-    sizes, fps = np.array([len(s) for s in sets]), np.array([neardup.prints(s)[0] for s in sets], np.uint64)
+    sizes, every_print = np.array([len(s) for s in sets]), np.array([neardup.prints(s) for s in sets], np.uint64)
+    fps = np.ascontiguousarray(every_print[:, 0])
     classes = np.arange(len(sets)) // 3
     every, spanning = set(), neardup.Forest()
     for mask in neardup.blocks(12):
         for _, rows, stored in neardup.Router(fps[:60], mask, 2).route(fps):
-            for part in neardup.candidates(fps[rows], sizes[rows], classes[rows], stored, mask, 12, None):
+            for part in neardup.candidates(fps[rows], every_print[rows], sizes[rows], classes[rows], stored, mask, 12, None):
                 every |= {tuple(sorted(x)) for x in rows[part].tolist()}
-            for part in neardup.candidates(fps[rows], sizes[rows], classes[rows], stored, mask, 12, neardup.Forest()):
+            for part in neardup.candidates(fps[rows], every_print[rows], sizes[rows], classes[rows], stored, mask, 12, neardup.Forest()):
                 for a, b in rows[part].tolist():
                     spanning.join(a, b)
-    want = {(i, j) for j in range(len(sets)) for i in range(j) if classes[i] != classes[j] and bin(int(fps[i] ^ fps[j])).count("1") <= 12 and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])}
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if classes[i] != classes[j] and bin(int(fps[i] ^ fps[j])).count("1") <= 12 and int(np.bitwise_count(every_print[i] ^ every_print[j]).sum()) <= neardup.TOGETHER and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])}
     assert want and every == want
     assert all(spanning.root(i) == spanning.root(j) for i, j in want)
