@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,17 +50,18 @@ def linear_svm(train: DataFrame, test: DataFrame, vector: str, label: str, c: fl
 
 
 def metadata_features(table: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """table with features: numbers with the median for missing ones, standardised; categories one-hot, unknown ones all zeros."""
-    text = table.select("*", *[F.coalesce(F.nullif(F.lower(F.trim(c)), F.lit("")), F.lit("missing")).alias(f"_{c}") for c in categorical])
+    """table with features: numbers with the exact median for missing ones, centred and divided by their population deviation
+    (1 where there is none); categories one-hot, unknown ones all zeros."""
+    medians = table.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in numeric]).first()
+    filled = table.select("*", *[F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c]))).alias(f"_{c}_n") for c in numeric], *[F.coalesce(F.nullif(F.lower(F.trim(c)), F.lit("")), F.lit("missing")).alias(f"_{c}") for c in categorical])
+    of = filled.agg(*[x for c in numeric for x in (F.coalesce(F.avg(f"_{c}_n"), F.lit(0.0)).alias(f"m_{c}"), F.coalesce(F.stddev_pop(f"_{c}_n"), F.lit(0.0)).alias(f"s_{c}"))]).first()
+    scaled_numbers = filled.withColumns({f"_{c}_s": (F.col(f"_{c}_n") - of[f"m_{c}"]) / (of[f"s_{c}"] or 1.0) for c in numeric})
     stages = [
-        Imputer(strategy="median", inputCols=numeric, outputCols=[f"_{c}_n" for c in numeric]),
-        VectorAssembler(inputCols=[f"_{c}_n" for c in numeric], outputCol="_numbers"),
-        StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True),
         *[StringIndexer(inputCol=f"_{c}", outputCol=f"_{c}_i", handleInvalid="keep") for c in categorical],
         OneHotEncoder(inputCols=[f"_{c}_i" for c in categorical], outputCols=[f"_{c}_h" for c in categorical], dropLast=True),
-        VectorAssembler(inputCols=["_scaled", *[f"_{c}_h" for c in categorical]], outputCol="_features"),
+        VectorAssembler(inputCols=[*[f"_{c}_s" for c in numeric], *[f"_{c}_h" for c in categorical]], outputCol="_features"),
     ]
-    out = Pipeline(stages=stages).fit(text).transform(text)
+    out = Pipeline(stages=stages).fit(scaled_numbers).transform(scaled_numbers)
     return out.select(*table.columns, vector_to_array("_features").alias("features"))
 
 

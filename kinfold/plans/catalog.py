@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators import graph, groups, splits
-from kinfold.plans import item_queries, pair_queries, study_queries
+from kinfold.plans import item_queries, pair_queries, source_queries, study_queries
 from kinfold.plans.views import items, table
 
 
@@ -33,8 +33,8 @@ from items join s using (content) join t using (content) group by items.source""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"lineage_leakage_audit": lineage_leakage_audit, **item_queries.QUERIES, **pair_queries.QUERIES, **study_queries.QUERIES}
+    return {"lineage_leakage_audit": lineage_leakage_audit, **item_queries.QUERIES, **pair_queries.QUERIES, **study_queries.QUERIES, **source_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"lineage_leakage_audit": FLAGSHIP_SQL, **item_queries.ORACLE, **pair_queries.ORACLE, **study_queries.ORACLE}
+    return {"lineage_leakage_audit": FLAGSHIP_SQL, **item_queries.ORACLE, **pair_queries.ORACLE, **study_queries.ORACLE, **source_queries.ORACLE}
