@@ -128,14 +128,48 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     return own.join(inherited, "_node", "left").select(key, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "alias_class")
 
 
-ORACLE = """
-with u as (
-  select page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') as path
-  from pages),
+ORACLE = r"""
+with recursive p as (select row_number() over () as i, page_id, coalesce(url, '') as url, html from pages),
+-- targets of canonical links and refreshes
+tags as (
+  select url, unnest(list_concat(
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\brel\s*=\s*["'']?canonical\b')), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) as raw
+  from p where url <> '' and html is not null),
+-- character references
+targets as (
+  select url, array_to_string(list_transform(regexp_extract_all(raw, '(?s)&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]+);|[^&]+|&'), lambda x: case lower(x)
+    when '&amp;' then '&' when '&lt;' then '<' when '&gt;' then '>' when '&quot;' then '"' when '&apos;' then ''''
+    else case when regexp_matches(x, '(?i)^&#x.*;$') then chr(('0x' || regexp_extract(x, '(?i)^&#x(.*);$', 1))::int) when regexp_matches(x, '^&#[0-9]+;$') then chr(regexp_extract(x, '^&#(.*);$', 1)::int) else x end end), '') as t
+  from tags where raw <> ''),
+-- what a target names, before dot segments go
+parts as (
+  select url, t, lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)) as own_host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as own_path,
+    regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*://') or starts_with(t, '//') as whole, case when starts_with(t, '//') then 'http:' || t else t end as w from targets),
+named as (
+  select url, case when whole then lower(regexp_extract(w, '(?s)^.*?://([^/?#]*)', 1)) else own_host end as host,
+    case when whole then regexp_extract(w, '(?s)^.*?://[^/?#]*([^?#]*)', 1) when starts_with(t, '?') then own_path when starts_with(t, '/') then regexp_extract(t, '(?s)^([^?#]*)', 1)
+      else case when own_path = '' then '/' else regexp_extract(own_path, '(?s)^(.*/)', 1) end || regexp_extract(t, '(?s)^([^?#]*)', 1) end as path,
+    case when whole then regexp_extract(w, '(?s)^.*?://[^?#]*([^#]*)', 1) else regexp_extract(t, '(?s)^[^?#]*([^#]*)', 1) end as query, starts_with(t, '?') as kept
+  from parts where whole or not (regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*:') or starts_with(t, '#') or t = '')),
+plain as (
+  select url, host, query, case when kept or not regexp_matches(path, '/\.\.?(/|$)') then path else '/' || array_to_string(list_reduce(
+      list_concat([['']], list_transform(list_concat(string_split(path, '/')[2:], case when regexp_matches(path, '/\.\.?$') then [''] else [] end), lambda x: [x])),
+      lambda a, x: case when x[1] = '.' then a when x[1] = '..' then (case when len(a) > 1 then a[:-2] else a end) else list_concat(a, x) end)[2:], '/') end as path from named),
+links as (
+  select lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)) || regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) as a, host || path || query as b
+  from plain where host <> '' and regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) <> ''),
+both_ways as (select a, b from links where a <> b union select b, a from links where a <> b),
+reach(node, other) as (select a, a from both_ways union select reach.node, both_ways.b from reach join both_ways on reach.other = both_ways.a),
 rules(verdict, rhost, rpath) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+seen as (select node, regexp_extract(node, '(?s)^([^/?#]*)', 1) as host, regexp_extract(node, '(?s)^[^/?#]*([^?#]*)', 1) as path from (select distinct node from reach)),
+decided as (select node, arg_max(verdict, length(rhost || rpath)) as verdict from seen join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by node),
+classes as (select reach.node, bool_or(verdict = 'allow') as allowed, bool_or(verdict = 'block') as blocked from reach left join decided on decided.node = reach.other group by reach.node),
+u as (select i, page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path,
+  regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) as rest from p),
 fit as (
-  select u.*, rhost || rpath as rule, verdict, row_number() over (partition by page_id, host, path order by length(rhost || rpath) desc nulls last) as k
+  select u.*, rhost || rpath as rule, verdict, row_number() over (partition by i order by length(rhost || rpath) desc nulls last) as k
   from u left join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath))
-select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from fit where k = 1
+select page_id, host, path, rule, coalesce(fit.verdict, case when blocked and not coalesce(allowed, false) then 'block' else 'allow' end) as verdict
+from fit left join classes on host <> '' and classes.node = host || rest where k = 1
 """
