@@ -105,7 +105,9 @@ def top_cosine(vectors: DataFrame, item: str, vector: str, k: int, apart: str |
 def origin_pairs(items: DataFrame, item: str, origin: str, most: int = 100) -> DataFrame:
     """(item_a, item_b, origin) of items that share an origin key; keys of more than `most` items make no pairs, as the contract says."""
     rows = items.filter(F.coalesce(F.col(origin), F.lit("")) != "").select(F.col(item).alias("i"), F.col(origin).alias("o")).distinct()
-    kept = rows.groupBy("o").agg(F.collect_set("i").alias("who"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") <= most))
+    # counted before anything is gathered: a key in a third of all rows is never one row
+    few = rows.groupBy("o").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") <= most)).select("o")
+    kept = rows.join(few, "o", "left_semi").groupBy("o").agg(F.collect_set("i").alias("who"))
     return kept.select("o", F.explode("who").alias("item_a"), "who").select("o", "item_a", F.explode("who").alias("item_b")).filter("item_a < item_b").select("item_a", "item_b", F.col("o").alias("origin"))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.exprs import DERIVATIVE, SAME_SCENE, draw, hamming, pair_key
-from kinfold.operators.groups import ranked
+from kinfold.operators.groups import ranked, ranked_within
+from kinfold.runtime import written_table
 
 
 def exact_positives(items: DataFrame, item: str, content: str, source: str, limit: int, seed: int = 0) -> DataFrame:
@@ -24,17 +24,16 @@ def exact_positives(items: DataFrame, item: str, content: str, source: str, limi
 def stratified(items: DataFrame, item: str, strata: list[str], seed: int = 0) -> DataFrame:
     """items with stratum and place within it, in an order dealt by the seed."""
     stratum = F.concat_ws("||", *[F.col(c).cast("string") for c in strata])
-    with_stratum = items.withColumn("stratum", stratum)
-    return with_stratum.withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy(draw(seed, F.col(item)), item)))
+    return ranked_within(items.withColumn("stratum", stratum), ["stratum"], [draw(seed, F.col(item)), F.col(item)], "place")
 
 
 def synthetic_positives(items: DataFrame, item: str, strata: list[str], transforms: list[str], each: int, seed: int = 0) -> DataFrame:
     """(item, transform): for each transform `each` items, in turns over the strata; another order for each transform."""
     spread = items.select(item, *strata, F.explode(F.array(*[F.lit(t) for t in transforms])).alias("transform"))
-    place = F.row_number().over(Window.partitionBy("transform", *strata).orderBy(draw(seed, F.concat_ws("|", "transform", F.col(item).cast("string"))), item))
-    turn = spread.withColumn("_turn", place)
-    rank = F.row_number().over(Window.partitionBy("transform").orderBy("_turn", *strata, item))
-    return turn.withColumn("_n", rank).filter(F.col("_n") <= each).select(item, "transform", *strata)
+    turn = ranked_within(spread, ["transform", *strata], [draw(seed, F.concat_ws("|", "transform", F.col(item).cast("string"))), F.col(item)], "_turn")
+    # no more turns than `each` can be needed of a stratum, so what is ranked by transform is bounded by strata, not by items
+    few = ranked_within(turn.filter(F.col("_turn") <= each), ["transform"], [F.col("_turn"), *[F.col(c) for c in strata], F.col(item)], "_n")
+    return few.filter(F.col("_n") <= each).select(item, "transform", *strata)
 
 
 def random_negatives(items: DataFrame, item: str, stratum: str, bits: str, origin: str, known: DataFrame, limit: int, least: int = 12, uses: int = 3, reach: int = 20, seed: int = 0) -> DataFrame:
@@ -42,8 +41,9 @@ def random_negatives(items: DataFrame, item: str, stratum: str, bits: str, origi
     with no item in more than `uses` of them.
 
     Each item is paired with the `reach` next ones of its stratum in an order dealt by
-    the seed, so that a stratum never becomes all its pairs; the final choice, over
-    pairs that these bounds have thinned, is a walk by one task.
+    the seed, so that a stratum never becomes all its pairs. The final choice walks
+    through the pairs in their dealt order, ten times `limit` at a time, until it has
+    `limit` or none are left: what the driver holds is bounded by the limit alone.
     """
     order = Window.partitionBy(stratum).orderBy(draw(seed, F.col(item)), item)
     row = F.struct(F.col(item).alias("i"), F.col(bits).alias("v"), F.col(origin).alias("o"))
@@ -51,19 +51,21 @@ def random_negatives(items: DataFrame, item: str, stratum: str, bits: str, origi
     pairs = near.select(F.col(item).alias("a"), F.col(bits).alias("v"), F.col(origin).alias("o"), F.explode("_next").alias("n")).filter((F.col("o") != F.col("n.o")) & (hamming(F.col("v"), F.col("n.v")) >= least))
     keyed = pairs.select(F.least("a", "n.i").alias("item_a"), F.greatest("a", "n.i").alias("item_b")).distinct()
     fresh = keyed.join(known.select("item_a", "item_b"), ["item_a", "item_b"], "left_anti")
-    dealt = fresh.withColumn("_d", draw(seed, pair_key(F.col("item_a").cast("string"), F.col("item_b").cast("string")))).orderBy("_d").limit(limit * 10)
-    kinds = dict(dealt.dtypes)
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        used: dict = {}
-        keep = []
-        for a, b in part.sort_values("_d")[["item_a", "item_b"]].itertuples(index=False):
+    dealt = written_table(fresh.withColumn("_d", draw(seed, pair_key(F.col("item_a").cast("string"), F.col("item_b").cast("string")))))
+    used: dict = {}
+    keep: list[tuple] = []
+    last = ""
+    while len(keep) < limit:
+        part = dealt.filter(F.col("_d") > last).orderBy("_d").limit(10 * limit).collect()
+        if not part:
+            break
+        for row in part:
+            a, b = row["item_a"], row["item_b"]
             if len(keep) < limit and used.get(a, 0) < uses and used.get(b, 0) < uses:
                 used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
                 keep.append((a, b))
-        return pd.DataFrame(keep, columns=["item_a", "item_b"])
-
-    return dealt.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(choose, f"item_a {kinds['item_a']}, item_b {kinds['item_b']}")
+        last = part[-1]["_d"]
+    return items.sparkSession.createDataFrame(keep, dealt.select("item_a", "item_b").schema)
 
 
 def performance(controls: DataFrame) -> DataFrame:

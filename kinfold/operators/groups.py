@@ -43,6 +43,19 @@ def ranked(table: DataFrame, order: Sequence[Column], name: str = "rank") -> Dat
     return spread.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + place + 1).drop("_p", "_m", "_b")
 
 
+def ranked_within(table: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """The table with each row's place (from 1) within its group, in an order that ends in a unique key.
+
+    Places are those in the order of all groups, less the group's first: a group that
+    holds a third of all rows is still sorted by many tasks. Nulls are a group.
+    """
+    # groups in the order of their hashes, so that values of any kind can be told apart, nulls too
+    group = F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in by])
+    every = ranked(table.withColumn("_g", group), [F.col("_g").asc(), *order], "_r")
+    firsts = every.groupBy("_g").agg(F.min("_r").alias("_f"))
+    return every.join(firsts, "_g").withColumn(name, (F.col("_r") - F.col("_f") + 1).cast("long")).drop("_g", "_r", "_f")
+
+
 def numbered(table: DataFrame, key: str, prefix: str, name: str) -> DataFrame:
     """The table with ids PREFIX000001, ... in the order of a unique key."""
     return ranked(table, [F.col(key).asc()], "_rank").withColumn(name, F.format_string(f"{prefix}%06d", "_rank")).drop("_rank")

@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.exprs import draw
+from kinfold.operators.groups import ranked_within
 
 
 def stratified_folds(samples: DataFrame, item: str, label: str, seed: int, folds: int = 5) -> DataFrame:
     """samples with fold: each label's items dealt out in turn, in an order that only depends on seed and id."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(draw(seed, F.col(item)), item))
-    return samples.withColumn("fold", F.pmod(place - 1, F.lit(folds)).cast("int"))
+    placed = ranked_within(samples, [label], [draw(seed, F.col(item)), F.col(item)], "_place")
+    return placed.withColumn("fold", F.pmod(F.col("_place") - 1, F.lit(folds)).cast("int")).drop("_place")
 
 
 def group_folds(samples: DataFrame, group: str, label: str, seed: int, folds: int = 5) -> DataFrame:
@@ -50,7 +51,7 @@ def group_folds(samples: DataFrame, group: str, label: str, seed: int, folds: in
             first += share
     spark = samples.sparkSession
     table = spark.createDataFrame(rows, "kind string, fold int, low long, high long")
-    place = vectors.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(draw(seed, F.col(group)), group)) - 1)
+    place = ranked_within(vectors, ["kind"], [draw(seed, F.col(group)), F.col(group)], "place").withColumn("place", F.col("place") - 1)
     return place.join(F.broadcast(table), "kind").filter("place >= low and place < high").select(group, "fold")
 
 
