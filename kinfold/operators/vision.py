@@ -10,7 +10,9 @@ import numpy as np
 #: Weights of red, green and blue in gray; fixed values.
 GRAY = np.array([0.299, 0.587, 0.114])
 #: Side of the gray canvas on which images are compared; largest difference of log aspect ratios.
-SIDE, ASPECT = 96, 0.12
+SIDE, ASPECT = 384, 0.12
+#: Pixels that a mask must leave for a measure to say anything.
+LEAST_PIXELS = 64
 
 
 def gray(pixels: np.ndarray) -> np.ndarray:
@@ -42,14 +44,17 @@ def turned(image: np.ndarray) -> list[np.ndarray]:
 
 
 def correlation(a: np.ndarray, b: np.ndarray, mask: np.ndarray | None = None) -> float:
-    """Normalised cross correlation; 0 where one side has no contrast."""
+    """Normalised cross correlation. Where one side has no contrast: 1 if both are equal but for their means, else 0; NaN under a mask of
+    too few pixels."""
     if mask is not None:
+        if mask.sum() < LEAST_PIXELS:
+            return float("nan")
         a, b = a[mask], b[mask]
-    if a.size < 2:
-        return 0.0
     a, b = a - a.mean(), b - b.mean()
     scale = np.sqrt((a * a).sum() * (b * b).sum())
-    return float((a * b).sum() / scale) if scale > 1e-9 else 0.0
+    if scale <= 1e-12:
+        return float(np.allclose(a, b))
+    return float((a * b).sum() / scale)
 
 
 def gradient(image: np.ndarray) -> np.ndarray:
@@ -70,7 +75,9 @@ def _smooth(image: np.ndarray, sigma: float = 1.5) -> np.ndarray:
 
 
 def similarity(a: np.ndarray, b: np.ndarray, mask: np.ndarray | None = None) -> float:
-    """Structural similarity with an 11 x 11 Gaussian window, averaged over the mask."""
+    """Structural similarity with an 11 x 11 Gaussian window, averaged over the mask; NaN under a mask of too few pixels."""
+    if mask is not None and mask.sum() < LEAST_PIXELS:
+        return float("nan")
     c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
     ma, mb = _smooth(a), _smooth(b)
     va, vb, cov = _smooth(a * a) - ma * ma, _smooth(b * b) - mb * mb, _smooth(a * b) - ma * mb
@@ -79,29 +86,31 @@ def similarity(a: np.ndarray, b: np.ndarray, mask: np.ndarray | None = None) ->
 
 
 def matched_light(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """b under the linear change of brightness and contrast that brings it nearest to a."""
+    """b under the linear change of brightness and contrast that brings it nearest to a, as whole gray values; b itself where it has no contrast."""
     x, y = b.ravel(), a.ravel()
     spread = ((x - x.mean()) ** 2).mean()
-    slope = ((x - x.mean()) * (y - y.mean())).mean() / spread if spread > 1e-9 else 0.0
-    slope = float(np.clip(slope, 0.2, 5.0))
-    return np.clip(slope * b + y.mean() - slope * x.mean(), 0, 255)
+    if spread < 1e-8:
+        return b
+    slope = ((x - x.mean()) * (y - y.mean())).mean() / spread
+    return np.floor(np.clip(slope * b + y.mean() - slope * x.mean(), 0, 255))
 
 
 def direct(a: np.ndarray, b: np.ndarray) -> dict[str, float]:
-    """The best of b's eight orientations against a: correlation, gradient correlation, structural similarity and their blend.
+    """The best of b's eight orientations against a: correlation, gradient correlation, structural similarity after matching the light, and
+    their blend.
 
-    Orientations whose aspect differs too much are skipped; if all are, everything is -1.
+    Orientations whose aspect differs too much are skipped; if all are, the measures are NaN and the score is -999.
     """
     one = gray(a)
     ratio = np.log(one.shape[1] / one.shape[0])
-    small = resize(one, SIDE, SIDE)
+    small = np.rint(resize(one, SIDE, SIDE))
     edges = gradient(small)
-    best = {"orientation": -1, "ncc": -1.0, "gradient_ncc": -1.0, "ssim": -1.0, "score": -1.0}
+    best = {"orientation": -1, "ncc": float("nan"), "gradient_ncc": float("nan"), "ssim": float("nan"), "score": -999.0}
     for i, other in enumerate(turned(gray(b))):
         if abs(np.log(other.shape[1] / other.shape[0]) - ratio) > ASPECT:
             continue
-        other = matched_light(small, resize(other, SIDE, SIDE))
-        ncc, edge, ssim = correlation(small, other), correlation(edges, gradient(other)), similarity(small, other)
+        other = np.rint(resize(other, SIDE, SIDE))
+        ncc, edge, ssim = correlation(small, other), correlation(edges, gradient(other)), similarity(small, matched_light(small, other))
         score = 0.4 * ncc + 0.3 * edge + 0.3 * ssim
         if score > best["score"]:
             best = {"orientation": i, "ncc": ncc, "gradient_ncc": edge, "ssim": ssim, "score": score}
@@ -143,11 +152,10 @@ def a_hash(image: np.ndarray) -> int:
 
 
 def w_hash(image: np.ndarray) -> int:
-    """Approximation band of a Haar transform of 64 x 64 pixels, three levels down, above its median."""
-    small = resize(image, 64, 64)
-    for _ in range(3):
-        small = (small[::2, ::2] + small[1::2, ::2] + small[::2, 1::2] + small[1::2, 1::2]) / 2
-    return _bits(small > np.median(small))
+    """Means of the 2 x 2 blocks of 16 x 16 pixels, one level of a Haar transform, above their median."""
+    small = resize(image, 16, 16)
+    low = (small[::2, ::2] + small[1::2, ::2] + small[::2, 1::2] + small[1::2, 1::2]) / 4
+    return _bits(low > np.median(low))
 
 
 HASHES = {"phash": p_hash, "dhash": d_hash, "ahash": a_hash, "whash": w_hash}
@@ -170,21 +178,33 @@ def hashes(pixels: np.ndarray) -> dict[str, object]:
 # transforms for positive controls, and features that tell what a model may take a short cut by
 
 
-def transformed(pixels: np.ndarray, kind: str, seed: int = 0) -> np.ndarray:
+#: Transforms of the positive controls: share cut off each side (top, bottom, left, right), gain and offset of brightness; fixed values.
+CUTS = {"center_crop_15": (0.075, 0.075, 0.075, 0.075), "corner_crop_20": (0.0, 0.2, 0.0, 0.2), "combined_crop_brightness": (0.1, 0.1, 0.1, 0.1)}
+LIGHT = {"brightness_065": (0.65, 0.0), "brightness_135": (1.35, 0.0), "combined_crop_brightness": (0.78, 12.0)}
+SHRUNK, LEAST_SIDE = {"resize_045": 0.45}, 32
+
+
+def transformed(pixels: np.ndarray, kind: str) -> np.ndarray:
+    """The image under a transform of the positive controls. Those that go through JPEG elsewhere end before it: there is no encoder here."""
     h, w = pixels.shape[:2]
-    if kind == "mirror":
+    if kind == "mirror_horizontal":
         return pixels[:, ::-1]
     if kind in ("rotate90", "rotate180", "rotate270"):
         return np.rot90(pixels, int(kind[6:]) // 90)
-    if kind == "crop":
-        return pixels[h // 10 : h - h // 10, w // 10 : w - w // 10]
-    if kind == "brightness":
-        return np.clip(pixels * 1.15 + 8, 0, 255).astype(pixels.dtype)
-    if kind == "shrink":
-        return np.stack([resize(pixels[..., c].astype(float), max(1, h // 2), max(1, w // 2)) for c in range(3)], 2).astype(pixels.dtype)
-    if kind == "noise":
-        return np.clip(pixels + np.random.default_rng(seed).normal(0, 4, pixels.shape), 0, 255).astype(pixels.dtype)
-    raise ValueError(f"no transform {kind}")
+    if kind not in CUTS and kind not in LIGHT and kind not in SHRUNK:
+        raise ValueError(f"no transform {kind}")
+    if kind in CUTS:
+        top, bottom, left, right = CUTS[kind]
+        edge = lambda n, share: max(1, round(n * share)) if share else 0
+        keep_h, keep_w = (max(2, int(n * (1 - far))) if not near else n - edge(n, far) for n, near, far in ((h, top, bottom), (w, left, right)))
+        pixels = pixels[edge(h, top) : keep_h, edge(w, left) : keep_w]
+    if kind in LIGHT:
+        gain, offset = LIGHT[kind]
+        pixels = np.clip(pixels.astype(float) * gain + offset, 0, 255).astype(pixels.dtype)
+    if kind in SHRUNK:
+        height, width = (max(LEAST_SIDE, int(n * SHRUNK[kind])) for n in (h, w))
+        pixels = np.stack([np.clip(np.rint(resize(pixels[..., c].astype(float), height, width)), 0, 255) for c in range(3)], 2).astype(pixels.dtype)
+    return pixels
 
 
 def canvas(pixels: np.ndarray, kind: str, share: float = 0.2) -> np.ndarray:

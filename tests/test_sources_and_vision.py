@@ -131,7 +131,7 @@ def test_exif():
     assert files.exif(data) == {"orientation": "6", "make": "Cam"} and files.exif(b"\xff\xd8\xff\xe1\0") == {}
 
 
-@pytest.mark.parametrize("kind", ["mirror", "rotate90", "rotate180", "brightness", "shrink", "noise"])
+@pytest.mark.parametrize("kind", ["mirror_horizontal", "rotate90", "rotate180", "brightness_065"])
 def test_copies_are_alike_and_others_are_not(kind):
     p = picture()
     same, other = vision.direct(p, vision.transformed(p, kind)), vision.direct(p, np.random.default_rng(7).integers(0, 256, p.shape).astype(np.uint8))
@@ -147,7 +147,21 @@ def test_features_and_canvases():
     assert f.shape == (124,) and np.isfinite(f).all() and np.isclose(f[:16].sum(), 1)
     assert (vision.canvas(p, "border")[30, 42] == 127).all() and (vision.canvas(p, "center")[0] == 127).all()
     assert vision.canvas(p, "blur").shape == vision.canvas(p, "gray").shape == p.shape
-    assert vision.direct(p, p[:, :20])["score"] == -1.0  # another aspect
+    assert vision.direct(p, p[:, :20])["score"] == -999.0  # another aspect
+
+
+def test_transforms_cut_and_light_as_stated():
+    p = picture()
+    h, w = p.shape[:2]
+    assert vision.transformed(p, "corner_crop_20").shape[:2] == (int(h * 0.8), int(w * 0.8))
+    assert vision.transformed(p, "center_crop_15").shape[:2] == (h - 2 * max(1, round(h * 0.075)), w - 2 * max(1, round(w * 0.075)))
+    assert vision.transformed(p, "combined_crop_brightness").shape[:2] == (h - 2 * max(1, round(h * 0.1)), w - 2 * max(1, round(w * 0.1)))
+    assert (vision.transformed(p, "brightness_135") == np.clip(p * 1.35, 0, 255).astype(np.uint8)).all()
+    with pytest.raises(ValueError):
+        vision.transformed(p, "none")
+    flat = np.full((20, 20), 7.0)
+    assert vision.correlation(flat, flat + 3) == 1.0 and np.isnan(vision.correlation(flat, flat, np.zeros((20, 20), bool)))
+    assert (vision.matched_light(p[..., 0].astype(float), flat) == flat).all()
 
 
 def test_controls(spark):
