@@ -9,6 +9,7 @@ as in tests on one machine.
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -65,9 +66,19 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def drop_table(table: DataFrame) -> None:
-    """Delete what written_table() wrote for this frame; only where every frame that reads it has itself been written."""
-    _delete(table.sparkSession, table._kinfold_path)
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished queries now: its cleaner acts when the driver collects its garbage, which may be
+    long after the disks have filled."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete what written_table() wrote for these frames; only where every frame that reads them has itself been written."""
+    for table in tables:
+        _delete(table.sparkSession, table._kinfold_path)
+    if tables:
+        tidy(tables[0].sparkSession)
 
 
 def release_tables(spark: SparkSession) -> None:
