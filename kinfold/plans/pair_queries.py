@@ -314,4 +314,44 @@ ORACLE = {
     "method_choice": f"with {EVIDENCE_PAIRS} select item_a, item_b, case when floor(inliers) >= floor(40 - inliers) then 'first' else 'second' end as method, greatest(floor(inliers), floor(40 - inliers))::int as inliers from pairs",
     "lineage_table": _LEVEL("extended") + f", {_MEMBERS}, t as (select component, count(*) as n_items, count(distinct item) as n_exact_components, string_agg(distinct label, '|' order by label) as labels, count(distinct label) as n_labels, string_agg(distinct source, '|' order by source) as sources, count(distinct source) as n_sources, string_agg(distinct split, '|' order by split) as splits, count(distinct split) as n_splits from comp join members using (item) group by 1) select *, case when n_labels > 1 then 'LABEL_CONFLICT' else '' end as exclusion_reason, case when n_labels > 1 then 'NO' else 'YES' end as eligible, case when n_sources > 1 then 'YES' else 'NO' end as cross_source, case when n_splits > 1 then 'YES' else 'NO' end as cross_split from t",
 }
-QUERIES = {name: globals()[name] for name in (*ORACLE, "shortlist_greedy", "incremental_merges", "bridge_edges", "split_block_table", "analysis_units")}
+
+
+
+def _second_level(level: str) -> str:
+    """Common table expressions that name the components of another level `lin`."""
+    kinds = LEVELS[level]
+    return (
+        f", links2 as (select item_a as x, item_b as y from edges where relation in ({kinds}) union all select item_b, item_a from edges where relation in ({kinds})),"
+        " reach2(node, other) as (select vec_id, vec_id from embeddings union select reach2.node, links2.y from reach2 join links2 on reach2.other = links2.x),"
+        " lin as (select node as item, min(other) as lineage from reach2 group by node)"
+    )
+
+
+#: By brute force: what each edge joins is reached again without it.
+ORACLE |= {
+    # an edge merges if no path of edges that come before it joins its ends
+    "incremental_merges": f"""with recursive {EDGES},
+ e as (select *, row_number() over (order by similarity desc, item_a, item_b) as rank from edges where similarity >= 0.35),
+ l as (select rank, item_a as x, item_b as y from e union all select rank, item_b, item_a from e),
+ r(edge, node) as (select rank, item_a from e union select r.edge, l.y from r join l on l.x = r.node and l.rank < r.edge),
+ joined as (select e.rank from e join r on r.edge = e.rank and r.node = e.item_b)
+ select rank, item_a, item_b, relation, row_number() over (order by rank) as merges_so_far from e where rank not in (select rank from joined)""",
+    # an edge is a bridge if no path of the others joins its ends; its block has three items or more
+    "bridge_edges": _LEVEL("block") + f""", e as (select item_a, item_b from edges where relation in ({LEVELS['block']})),
+ r(a, b, node) as (select item_a, item_b, item_a from e union select r.a, r.b, links.y from r join links on links.x = r.node and not (links.x = r.a and links.y = r.b) and not (links.x = r.b and links.y = r.a)),
+ sizes as (select component, count(*) as n from comp group by 1)
+ select component as block, item_a, item_b from e join comp on comp.item = e.item_a join sizes using (component) where n >= 3 and not exists (select 1 from r where r.a = e.item_a and r.b = e.item_b and r.node = e.item_b)""",
+    "split_block_table": _LEVEL("block") + _second_level("extended") + f""", {_MEMBERS},
+ s as (select component as block, count(*) as n_items, count(distinct lineage) as n_lineages, string_agg(distinct split, '|' order by split) as splits, count(distinct split) as n_splits, count(distinct label) as n_labels
+   from comp join lin using (item) join members using (item) group by 1),
+ c as (select component as block, count(*) filter (relation like 'VERIFIED%') as d, count(*) filter (relation = 'GEOMETRIC_SAME_SCENE_ONLY') as g from edges join comp on comp.item = edges.item_a group by 1),
+ w as (select s.*, coalesce(d, 0) as n_derivative_edges, coalesce(g, 0) as n_scene_edges,
+   concat_ws(';', case when n_splits > 1 then 'CROSS_SPLIT' end, case when n_labels > 1 then 'LABEL_CONFLICT' end, case when n_items >= 10 then 'LARGE_BLOCK' end) as audit_reason from s left join c using (block))
+ select *, case when audit_reason <> '' then 'YES' else 'NO' end as audit_required from w""",
+    "analysis_units": _LEVEL("block") + _second_level("strict") + f""", {_MEMBERS},
+ m as (select lineage, component as block, item, label, split from comp join lin using (item) join members using (item)),
+ t as (select lineage, min(block) as block, min(label) as label, count(*) as n_items, count(distinct label) as k from m group by 1),
+ first as (select lineage, item as representative from (select *, row_number() over (partition by lineage order by split, item desc) as k from m) where k = 1)
+ select task, lineage, block, label, n_items, representative from t join first using (lineage), (values ('low', ['0', '1', '2', '3', '4']), ('even', ['0', '2', '4', '6', '8'])) x(task, labels) where k = 1 and list_contains(labels, label)""",
+}
+QUERIES = {name: globals()[name] for name in (*ORACLE, "shortlist_greedy")}
