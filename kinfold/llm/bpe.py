@@ -203,7 +203,6 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = once(f"bytes {tokenizer}", lambda: ByteEncoder(tokenizer))
-        encoder.remembered = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
