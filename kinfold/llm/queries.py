@@ -48,9 +48,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beside the digest: n_passages, the runs of words that passages of 50 words cover which start elsewhere too."""
-    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"), passages=repeats.PASSAGES)
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages")
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm._tables import column, frugal
-from kinfold.runtime import drop_table, written_table
+from kinfold.runtime import drop_table, tidy, written_table
 
 
 @dataclass(frozen=True)
@@ -422,17 +422,18 @@ def occurrences(docs: DataFrame, rules: Sequence[Rule] = (BYTES,)) -> DataFrame:
         .groupBy("a_id", "a_k")
         .agg(F.collect_list("place").alias("places"))
     )
+    tidy(docs.sparkSession)
     of = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("k") == F.col("a_k")))
     around = written_table(of.select("doc_id", "k", "text", "places").mapInArrow(frugal(_surroundings(rules)), "rule int, gram long, around long, left binary, right binary"))
     kind = "array<struct<repeat: long, l: int, r: int>>"
+    tidy(docs.sparkSession)
     members, covered = _split(around, several, rules, m)
     met = members.repartition("group").sortWithinPartitions("group").mapInArrow(frugal(_meeting(rules)), f"gram long, around long, found {kind}")
     if covered is not None:
         met = met.unionByName(covered.select("gram", "around", F.array(F.struct("repeat", "l", "r")).cast(kind).alias("found")))
     whole = distinct.filter("n > 1").select("gram", "around", F.lit(True).alias("whole"))
     shared = written_table(met.groupBy("gram", "around").agg(F.flatten(F.collect_list("found")).alias("found")).join(whole, ["gram", "around"], "full_outer"), m)
-    for table in (around, distinct, often, several):
-        drop_table(table)
+    drop_table(around, distinct, often, several)
     return places.join(shared, ["gram", "around"]).select("doc_id", "k", "rule", "pos", "found", F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
