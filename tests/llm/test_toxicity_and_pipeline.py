@@ -74,22 +74,6 @@ def test_viterbi_equals_trying_all_readings():
         assert any(math.isclose(value(t, c), best) and t == reader.decode(span) for t, c in readings(span))
 
 
-def test_a_small_sample_and_quoted_words(spark):
-    """Words tell labels apart in 40 rows of each kind, also where a clean row quotes one; copies of a row count once."""
-    rows, labels = labelled(4000, 3)
-    r = random.Random(4)
-    toxic = [i for i, _, t in labels if t and zlib.crc32(str(i).encode()) % 5][:40]
-    clean = [i for i, _, t in labels if not t and zlib.crc32(str(i).encode()) % 5][:40]
-    texts = dict(rows)
-    texts[clean[0]] += " idiot"
-    copied = [(20_000 + i, sentence(random.Random(5), 40) + " zebrafish") for i in range(30)]
-    asked = [(30_000, sentence(r, 30) + " moron"), (30_001, sentence(r, 30) + " idiot"), (30_002, sentence(r, 30)), (30_003, sentence(r, 30) + " zebrafish")]
-    known = [(i, 1, 1) for i in toxic] + [(i, 1, 0) for i in clean] + [(i, 1, 1) for i, _ in copied]
-    docs, said = tables(spark, [(i, texts[i]) for i in toxic + clean] + copied + asked, known)
-    got = {x["doc_id"]: x["predicted"] for x in toxicity.score(docs, said).collect()}
-    assert [got[i] for i, _ in asked] == [1, 1, 0, 0]
-
-
 @pytest.mark.parametrize(("labels", "want"), [([], {0}), ([(1, 1, 1), (2, 1, 1), (3, 1, 1)], {1}), ([(i, 1, None) for i in range(9)], {0})])
 def test_labels_of_one_kind(spark, labels, want):
     rows = [(i, f"text {i}") for i in range(8)] + [(None, None), (7, "")]
