@@ -61,8 +61,8 @@ def blocks(radius: int) -> list[int]:
 ALIKE, PRINTS, WIDE, TOGETHER = 0.8, 4, 12, 60
 #: Shingles of a group whose sets meet in one task.
 GROUP = 1 << 20
-#: Fingerprints sampled for the routing levels; stored in a shard on average; compared at once in a leaf.
-SAMPLE, SHARD, LEAF = 8192, 50_000, 1 << 18
+#: Fingerprints sampled for the routing levels; stored in a shard on average (15 MB); compared at once in a leaf.
+SAMPLE, SHARD, LEAF = 8192, 250_000, 1 << 18
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
