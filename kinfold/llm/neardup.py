@@ -56,13 +56,18 @@ def blocks(radius: int) -> list[int]:
 
 
 #: For one_of_each: the least Jaccard similarity of a link; fingerprints of a set, and the bits that a pair alike to ALIKE may
-#: differ in, in one of them at least (9.7 of 64 on average at 0.8, with a standard deviation of 2.9) and in all of them together
-#: (38.8 of 256, 5.7): strangers differ in half of all bits, so hardly one of them is a candidate, however many there are.
-ALIKE, PRINTS, WIDE, TOGETHER = 0.8, 4, 12, 60
+#: differ in: one at most of a quarter of one of them, QUARTERS (2.4 of 16 on average at 0.8; 28 % do), WIDE of that fingerprint
+#: (9.7 of 64 on average, with a standard deviation of 2.9) and TOGETHER of all (58 of 384, 7): strangers differ in half of all
+#: bits, so hardly one of them is a candidate, however many there are, and one in 4,000 only differs so little in a quarter.
+ALIKE, PRINTS, WIDE, TOGETHER = 0.8, 6, 18, 90
+QUARTERS = blocks(6)
 #: Shingles of a group whose sets meet in one task.
 GROUP = 1 << 20
+#: Bits, at most, of the filter that keeps texts without a candidate out of a shuffle (a broadcast of a million rows at most).
+BITS = 1 << 26
 #: Fingerprints sampled for the routing levels; stored in a shard on average (15 MB); compared at once in a leaf.
 SAMPLE, SHARD, LEAF = 8192, 250_000, 1 << 18
+_KEYS = np.array([(0xD6E8FEB86659FD93 * (i + 1)) % 2**64 for i in range(PRINTS)], np.uint64)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -95,12 +100,16 @@ def fives(hashes: np.ndarray) -> np.ndarray:
 
 def prints(five: np.ndarray) -> list[int]:
     """PRINTS fingerprints of a set of shingles, each from hashes of their own."""
-    found = []
-    for i in range(PRINTS):
-        mixed = (five ^ np.uint64((0xD6E8FEB86659FD93 * (i + 1)) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        found.append(fingerprint(mixed ^ (mixed >> np.uint64(29))))
-    return found
+    n = len(five)
+    if not n:
+        return [0] * PRINTS
+    mixed = (five[:, None] ^ _KEYS) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    mixed ^= mixed >> np.uint64(29)
+    # eight bits, a byte each, are added at once: 255 of them overflow no byte
+    lanes = np.unpackbits(mixed.view(np.uint8).reshape(n, -1), axis=1, bitorder="little").view(np.uint64)
+    votes = np.add.reduceat(lanes, np.arange(0, n, 255), axis=0).view(np.uint8).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > n, bitorder="little").view("<u8").tolist()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -260,7 +269,7 @@ def leaves(fps: np.ndarray, own: np.ndarray, mask: int) -> Iterator[tuple[np.nda
         stored, asking = work.pop()
         if not len(stored):
             continue
-        if len(stored) * (len(stored) + len(asking)) > LEAF and len(stored) > 32:
+        if len(stored) * (len(stored) + len(asking)) > LEAF // 4 and len(stored) > 32:
             vantage = fps[stored[len(stored) // 2]]
             far, off = _differ(fps[stored], vantage, mask), _differ(fps[asking], vantage, mask)
             bound = int(np.median(far))
@@ -278,20 +287,22 @@ def candidates(fps: np.ndarray, every_print: np.ndarray, sizes: np.ndarray, clas
     them, or those that join classes of the forest, the closest of each block of rows first."""
     for stored, asking in leaves(fps, own, mask):
         every = np.concatenate([stored, asking])
-        step = max(1, 4 * LEAF // len(every))
-        if forest is not None:
-            joined = np.array([forest.root(x) for x in every.tolist()])
+        values, step = fps[every], max(1, 4 * LEAF // len(every))
         for at in range(0, len(stored), step):
-            some = stored[at : at + step, None]
-            near = (np.bitwise_count(fps[some] ^ fps[every]) <= radius) & (classes[some] != classes[every])
-            # one after another among the stored: each pair once
-            near &= np.arange(at, at + len(some))[:, None] < np.arange(len(every))
-            if forest is not None:
-                near &= joined[at : at + len(some), None] != joined
+            some = stored[at : at + step]
+            near = np.bitwise_count(values[at : at + len(some), None] ^ values) <= radius
+            if np.count_nonzero(near) > 8 * len(every):  # a group of near copies: what is one class already isn't compared again
+                near &= classes[some, None] != classes[every]
+                if forest is not None:
+                    joined = np.array([forest.root(x) for x in every.tolist()])
+                    near &= joined[at : at + len(some), None] != joined
             i, j = np.nonzero(near)
-            i, j = stored[i + at], every[j]
+            once = i + at < j  # one after another among the stored: each pair once
+            i, j = some[i[once]], every[j[once]]
+            fit = (classes[i] != classes[j]) & (np.minimum(sizes[i], sizes[j]) >= ALIKE * np.maximum(sizes[i], sizes[j]) - 1e-9)
+            i, j = i[fit], j[fit]
             far = np.bitwise_count(every_print[i] ^ every_print[j]).sum(axis=1, dtype=np.int64)
-            fit = (far <= TOGETHER) & (np.minimum(sizes[i], sizes[j]) >= ALIKE * np.maximum(sizes[i], sizes[j]) - 1e-9)
+            fit = far <= TOGETHER
             i, j, far = i[fit], j[fit], far[fit]
             if forest is None:
                 yield np.c_[i, j]
@@ -300,7 +311,6 @@ def candidates(fps: np.ndarray, every_print: np.ndarray, sizes: np.ndarray, clas
                 for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
                     forest.join(x, y)
                 if len(forest.links) > before:
-                    joined = np.array([forest.root(x) for x in every.tolist()])
                     yield np.array(forest.links[before:], np.int64)
 
 
@@ -355,7 +365,7 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _solver(radius: int, wide: bool, spanning: bool):
     """The worker that turns shards, in their order, into links: shard, fp, stored[, node, size, class, all prints] -> a, b, each
     shard's spanning forest; wide: its candidates, or a spanning forest of them."""
-    masks = blocks(radius)
+    masks = QUARTERS if wide else blocks(radius)
 
     def solve(shard: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         fps, own = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
@@ -395,17 +405,18 @@ def _solver(radius: int, wide: bool, spanning: bool):
 def links(unique: DataFrame, count: int, radius: int = RADIUS, wide: bool = False, spanning: bool = True) -> DataFrame:
     """(a, b): links that connect what chains of pairs within the radius connect.
 
-    Of fingerprints (column fp, distinct); wide: of nodes (columns fps, node, size, class), pairs of different classes within
-    the radius in one of their fingerprints, whose sizes allow ALIKE; if not spanning, all of them.
+    Of fingerprints (column fp, distinct); wide: of nodes (columns fps, node, size, class), pairs of different classes that the
+    trees over QUARTERS bring together, within the radius in one of their fingerprints, whose sizes allow ALIKE; if not
+    spanning, all of them.
     """
     n = PRINTS if wide else 1
     of = (lambda i: F.col("fps")[i]) if wide else (lambda i: F.col("fp"))
     # about 4 * SAMPLE are left to choose from, so that no task sends more than its share of them
     thin = unique.select(of(0).alias("fp"), *([F.col("fps")] if wide else [])).filter(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(max(1, count // (4 * SAMPLE)))) == 0)
     sample = [r["fps"] if wide else [r["fp"]] for r in thin.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
-    levels = max(0, int(np.ceil(np.log2(max(1, count) / SHARD))))
+    levels = max(0, int(np.ceil(np.log2(max(1, count) / (2 * SHARD if wide else SHARD)))))
     seen = np.array(sample, np.int64).reshape(-1, n).view(np.uint64)
-    masks = blocks(radius)
+    masks = QUARTERS if wide else blocks(radius)
     routers = [(i, Router(np.ascontiguousarray(seen[:, i]), mask, min(levels, 40))) for i in range(n) for mask in masks]
     prints = [f"fp{i}" for i in range(n)]
     more = ["node", "size", "class", *prints] if wide else []
@@ -446,6 +457,16 @@ def _classes(docs: DataFrame, key: str, text: str, radius: int) -> tuple[DataFra
     return found, _first_rows(unique, connected_components(links(unique, count, radius), "a", "b", at_most=3 * count), count)
 
 
+def _likely(rows: DataFrame, wanted: DataFrame, on: list[str], count: int) -> DataFrame:
+    """The rows that match one of the `count` wanted, and hardly any other, without a shuffle: matches set a bit each."""
+    bits = min(BITS, 1 << max(16, (16 * count).bit_length()))
+    place, word, marked = free_names(rows, "place", "word", "marked")
+    at, bit = F.pmod(F.xxhash64(*on, F.lit(7)), F.lit(bits)), F.expr(f"shiftleft(1L, cast({place} & 63 as int))")
+    words = wanted.select(at.alias(place)).groupBy(F.shiftright(place, 6).alias(word)).agg(F.bit_or(bit).alias(marked))
+    known = rows.withColumn(place, at).join(F.broadcast(words), F.shiftright(place, 6) == F.col(word))
+    return known.filter(F.col(marked).bitwiseAND(bit) != 0).select(rows.columns)
+
+
 def _alike_classes(docs: DataFrame, key: str, text: str, radius: int) -> DataFrame:
     """(node, first) of every set of five-word shingles, classes being linked by pairs of sets alike to ALIKE."""
     rows = two(docs, key, text).select("doc_id", F.xxhash64("text").alias("k"), "text")
@@ -458,7 +479,8 @@ def _alike_classes(docs: DataFrame, key: str, text: str, radius: int) -> DataFra
     close = written_table(unique.join(groups, "node"), count)
     n = close.count()
     wanted = close.select("node", F.coalesce("least.doc_id", F.lit(0)).alias("i"), F.col("least.no_id").alias("no"), F.col("least.k").alias("k"))
-    texts = rows.withColumn("i", F.coalesce("doc_id", F.lit(0))).withColumn("no", F.col("doc_id").isNull()).join(wanted, ["i", "no", "k"]).select("node", "text")
+    at = ["i", "no", "k"]
+    texts = _likely(rows.withColumn("i", F.coalesce("doc_id", F.lit(0))).withColumn("no", F.col("doc_id").isNull()), wanted, at, n).join(wanted, at).select("node", "text")
     sets = written_table(texts.mapInArrow(frugal(_whole_sets), "node long, set binary").dropDuplicates(["node"]))
     large = written_table(close.groupBy("group").agg(F.sum("size").alias("shingles")).filter(F.col("shingles") > GROUP).select("group"), n)
     # groups' sets meet by group, small ones only; tables of their own let a join split what is hot

@@ -329,3 +329,24 @@ def test_candidates_of_shards_are_whole(monkeypatch, leaf):
     want = {(i, j) for j in range(len(sets)) for i in range(j) if classes[i] != classes[j] and bin(int(fps[i] ^ fps[j])).count("1") <= 12 and int(np.bitwise_count(every_print[i] ^ every_print[j]).sum()) <= neardup.TOGETHER and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])}
     assert want and every == want
     assert all(spanning.root(i) == spanning.root(j) for i, j in want)
+
+
+def test_the_search_for_candidates_grows_far_slower_than_all_pairs():
+    """Of 40,000 strangers a leaf holds a thirtieth of all pairs at most, and pairs alike to four fifths still meet in a tree."""
+    fps = np.random.default_rng(3).integers(0, 2**64, 40_000, dtype=np.uint64)
+    work = [[sum(len(a) * (len(a) + len(b)) for a, b in neardup.leaves(fps[:n], np.ones(n, bool), mask)) for mask in neardup.QUARTERS] for n in (10_000, 40_000)]
+    assert sum(work[1]) * neardup.PRINTS < 40_000**2 / 2 and sum(work[1]) < 7 * sum(work[0])
+    pairs = [p for p in around(23, n=600) if 0.8 <= alike(*p) < 0.85]
+    met = 0
+    for pair in pairs:
+        a, b = (np.array(neardup.prints(neardup.fives(neardup.shingles(t))), np.uint64) for t in pair)
+        met += any((np.bitwise_count((a ^ b) & np.uint64(mask)) <= 1).any() for mask in neardup.QUARTERS)
+    assert len(pairs) > 100 and met >= 0.99 * len(pairs)
+
+
+def test_texts_without_a_candidate_stay_out_of_the_join(spark):
+    rows = spark.range(20_000).withColumn("k", F.col("id") % 7)
+    wanted = rows.filter("id % 100 = 3")
+    found = neardup._likely(rows, wanted, ["id", "k"], 200)
+    assert found.columns == rows.columns and found.count() < 400
+    assert found.join(wanted, ["id", "k"]).count() == 200
