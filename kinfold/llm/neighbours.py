@@ -4,14 +4,18 @@ Inner products become distances: vectors are divided by the largest norm and get
 more component that brings each to norm 1 (a query gets 0 there), which leaves the
 order of a query's candidates by distance what it is by inner product. A shard of
 vectors keeps, for each of PROJECTIONS random directions, its vectors' projections as
-one sorted array. A query's window in every array starts at its own projection and
+one sorted array, cut into STRETCHES of equal size; a vector is known by the number of
+its stretch, a byte. A query's window in every array starts at its own projection and
 is widened step by step (virtual rehashing: the width belongs to a radius, and no
-array is built anew); a vector collides with the query in each array whose window
-holds it. Vectors with enough collisions are verified on the original components in
-double precision. A radius is enough once k verified vectors lie within it: a vector
-within a radius collides in each window with probability P_NEAR at least, and THRESHOLD
-is so far below the expected count that a true neighbour is missed in a few of a
-hundred cases at most.
+array is built anew); a vector collides with the query in each array whose window, up
+to the ends of stretches, holds it. Collisions are counted for a few queries at once,
+and a vector that already lacks too many after the first arrays is counted no further.
+Vectors with enough collisions are verified on the original components in double
+precision. A radius is enough once k verified vectors lie within it; if k are verified,
+but not all of them within it, the distance of the k-th is the next radius and the last,
+unless a smaller step comes first: no nearer vector can be farther. A vector within a radius collides in each window with
+probability P_NEAR at least, and THRESHOLD is so far below the expected count that a true
+neighbour is missed in a few of a hundred cases at most.
 
 Queries in blocks meet all shards, each pair of block and shard in a task of its own.
 Shards and blocks are of bounded size, however many vectors or queries there are.
@@ -28,6 +32,7 @@ result.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,20 +44,41 @@ from pyspark.sql import types as T
 #: So many projections tell a vector just within the radius from one a tenth farther: about 4 % of 10,000 vectors are verified for
 #: a query, where 128 projections would leave 20 to 30 %.
 PROJECTIONS, SEED = 512, 4
-#: Half width of a window for radius 1; the first radius is FIRST. Each wider one is COARSE times the one before while nothing has
-#: been verified, then FINE: what a radius overshoots is paid for by vectors that are verified in vain. Windows this wide leave
-#: little out, so it is the vectors outside that are counted.
-HALF, FIRST, COARSE, FINE = 1.5, 0.2, 1.08, 1.01
-#: The first PILOT queries of a block start at FIRST; the others at EARLY times the least radius that one of these needed.
-PILOT, EARLY = 8, 0.97
+#: Half width of a window for radius 1; the first radius is FIRST. Each wider one is COARSE times the one before while
+#: nothing has been verified, then at most FINE. Windows this wide leave little out, so it is the arrays outside whose windows a vector is that are counted.
+HALF, FIRST, COARSE, FINE = 1.5, 0.2, 1.08, 1.02
+#: The first PILOT queries of a block start at FIRST; the others at EARLY times the median of the radii that these needed.
+PILOT, EARLY = 8, 1.0
 P_NEAR = math.erf(HALF / math.sqrt(2))
+
+
+def _allowed(projections: int, deviations: float) -> int:
+    """How many of so many windows may miss a vector just within the radius, which is that far over what is expected."""
+    return math.ceil(projections * (1 - P_NEAR) + deviations * math.sqrt(projections * P_NEAR * (1 - P_NEAR)))
+
+
 #: 1.6 standard deviations below what a vector just within the radius is expected to reach; nearer ones reach more. Measured recall: 0.99.
-THRESHOLD = math.floor(PROJECTIONS * P_NEAR - 1.6 * math.sqrt(PROJECTIONS * P_NEAR * (1 - P_NEAR)))
+THRESHOLD = PROJECTIONS - _allowed(PROJECTIONS, 1.6)
+#: Arrays that are counted for all vectors, and for those that are left after them; at these points 2.5 deviations are allowed.
+#: The steps are multiples of 64, as many as a word has bits.
+EVERY, SOME = 192, 320
+MISSES_EVERY, MISSES_SOME = _allowed(EVERY, 2.5), _allowed(SOME, 2.5)
+STRETCHES = 256
+#: Queries that are counted at once.
+TOGETHER = 16
 #: Vectors in a shard and queries in a block, on average.
-SHARD, BLOCK = 8192, 4096
+SHARD, BLOCK = 16_384, 8192
 FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
+class _Query:
+    """What has been verified for a query, and the radius it has come to."""
+
+    def __init__(self, own: int, vector: np.ndarray):
+        self.id, self.vector, self.norm, self.radius = own, vector, float(np.sqrt(vector @ vector)), FIRST
+        self.rows, self.scores = np.zeros(0, np.int64), np.zeros(0)
+
+
 class Shard:
     """Sorted projections of some vectors."""
 
@@ -62,63 +88,90 @@ class Shard:
         n, d = vectors.shape
         rest = np.sqrt(np.maximum(0, 1 - (vectors**2).sum(1) / largest**2))
         self.directions = np.random.default_rng(SEED).standard_normal((d + 1, PROJECTIONS))
-        places = np.c_[vectors / largest, rest] @ self.directions
-        self.order = np.argsort(places, axis=0, kind="stable").astype(np.int32)
-        places = np.take_along_axis(places, self.order, 0)
-        # one array for all directions: each has a stretch of its own of this width
-        self.apart = 4 * float(np.abs(places).max()) + 4 * float(np.abs(self.directions).sum(0).max()) + 1
-        self.flat = (places + np.arange(PROJECTIONS) * self.apart).T.ravel()
-        self.order = self.order.T.ravel()
-
-    def nearest(self, query_id: int, query: np.ndarray, k: int, first: float = FIRST) -> tuple[np.ndarray, np.ndarray, float]:
-        """(ids, inner products) of the k nearest, without the query's own id, and the radius that was enough."""
-        n = len(self.ids)
-        norm = float(np.sqrt(query @ query))
-        at = (np.append(query / norm, 0.0) @ self.directions) + np.arange(PROJECTIONS) * self.apart
-        starts = np.arange(PROJECTIONS) * n
-        verified = self.ids == query_id  # never a candidate
-        found, scores = [], []
-        radius, misses, low, high = first, None, None, None
-        while True:
-            a = np.clip(np.searchsorted(self.flat, at - HALF * radius), starts, starts + n)
-            b = np.clip(np.searchsorted(self.flat, at + HALF * radius, side="right"), a, starts + n)
-            if misses is None:
-                misses = self._counted(starts, a) + self._counted(b, starts + n)
-            else:
-                misses -= self._counted(a, low) + self._counted(high, b)
-            low, high = a, b
-            new = np.flatnonzero((misses <= PROJECTIONS - THRESHOLD) & ~verified)
-            if len(new):
-                verified[new] = True
-                self.looked += len(new)
-                found.append(new)
-                scores.append(np.einsum("ij,j->i", self.vectors[new], query))
-            whole = bool((b - a >= n).all())
-            if whole or sum(map(len, found)) >= k:
-                every = np.concatenate(scores) if scores else np.zeros(0)
-                # squared distance of the normed vectors; the k-th best must lie within the radius
-                if whole or 2 - 2 * np.partition(every, len(every) - k)[len(every) - k] / (norm * self.largest) <= radius**2:
-                    break
-            radius *= FINE if found else COARSE
-        rows = np.concatenate(found) if found else np.zeros(0, np.int64)
-        rows = rows[np.lexsort((self.ids[rows], -every))[: 2 * k]]
-        every = (self.vectors[rows] * query).sum(1)  # the same sum for equal vectors, wherever they stand
-        best = np.lexsort((self.ids[rows], -every))[:k]
-        return self.ids[rows[best]], every[best], radius
-
-    def _counted(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """How often each vector is in the stretches [low, high) of the sorted arrays."""
-        pieces = [self.order[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True) if x < y]
-        return np.bincount(np.concatenate(pieces), minlength=len(self.ids)) if pieces else np.zeros(len(self.ids), np.int64)
+        placed, stretch = np.c_[vectors / largest, rest], (np.arange(n) * STRETCHES // n).astype(np.uint8)
+        ends = np.unique(stretch, return_index=True)[1]  # where each stretch starts in a sorted array
+        codes, edges = np.empty((PROJECTIONS, n), np.uint8), np.empty((PROJECTIONS, len(ends)))
+        for i in range(0, PROJECTIONS, 64):
+            places = np.ascontiguousarray((placed @ self.directions[:, i : i + 64]).T)
+            order = np.argsort(places, axis=1, kind="stable")
+            np.put_along_axis(codes[i : i + 64], order, stretch[None, :], 1)
+            edges[i : i + 64] = np.take_along_axis(places, order[:, ends], 1)
+        self.stretches, self.numbers = len(ends), stretch[ends]
+        # one array for all directions: each has a part of its own of this width
+        self.apart = 4 * float(np.abs(edges).max()) + 4 * float(np.abs(self.directions).sum(0).max()) + 1
+        self.edges = (edges + np.arange(PROJECTIONS)[:, None] * self.apart).ravel()
+        self.every = codes[:EVERY].copy()
+        self.some, self.others = np.ascontiguousarray(codes[EVERY:SOME].T), np.ascontiguousarray(codes[SOME:].T)
+
+    def _windows(self, at: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First stretch and how many follow it, of each query's window in each array; at: queries by arrays."""
+        starts = np.arange(PROJECTIONS) * self.stretches
+        low, high = (np.clip(np.searchsorted(self.edges, at + x, side) - starts, 1, self.stretches) - 1 for x, side in ((-half[:, None], "left"), (half[:, None], "right")))
+        return self.numbers[low], self.numbers[high] - self.numbers[low]
+
+    @staticmethod
+    def _missed(codes: np.ndarray, low: np.ndarray, span: np.ndarray) -> np.ndarray:
+        """In how many windows each row of codes is not."""
+        words = np.packbits((codes - low) > span, axis=1).view(np.uint64)
+        return sum((np.bitwise_count(words[:, i]).astype(np.int64) for i in range(words.shape[1])), np.zeros(len(codes), np.int64))
+
+    def _colliding(self, low: np.ndarray, span: np.ndarray) -> list[np.ndarray]:
+        """Rows with enough collisions, for each query."""
+        misses = np.zeros((len(low), len(self.ids)), np.uint8)
+        apart, out = np.empty_like(misses), np.empty(misses.shape, bool)
+        for i in range(EVERY):
+            np.subtract(self.every[i], low[:, i, None], out=apart)
+            np.greater(apart, span[:, i, None], out=out)
+            np.add(misses, out.view(np.uint8), out=misses)
+        found = []
+        for q in range(len(low)):
+            rows = np.flatnonzero(misses[q] <= MISSES_EVERY)
+            so_far = misses[q, rows] + self._missed(self.some[rows], low[q, EVERY:SOME], span[q, EVERY:SOME])
+            left = so_far <= MISSES_SOME
+            rows, so_far = rows[left], so_far[left]
+            found.append(rows[so_far + self._missed(self.others[rows], low[q, SOME:], span[q, SOME:]) <= PROJECTIONS - THRESHOLD])
+        return found
 
     def answer(self, ids: list[int], queries: list[np.ndarray], k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        out, needed = [], []
-        for i, (q, v) in enumerate(zip(ids, queries, strict=True)):
-            near, score, radius = self.nearest(q, v, k, EARLY * min(needed) if i >= PILOT else FIRST)
-            if i < PILOT:
-                needed.append(radius)
-            out.append((q, near, score))
-        return out
+        """(id, ids of its k nearest, inner products) of each query; its own id is no candidate."""
+        vectors = np.stack(queries)
+        asked = [_Query(i, v) for i, v in zip(ids, vectors, strict=True)]
+        self._widen(asked[:PILOT], k)
+        start = EARLY * float(np.median([q.radius for q in asked[:PILOT]]))
+        for q in asked[PILOT:]:
+            q.radius = start
+        self._widen(asked[PILOT:], k)
+        return [(q.id, *self._best(q, k)) for q in asked]
+
+    def _widen(self, asked: list[_Query], k: int) -> None:
+        """Verify until each query's radius is enough; those that need another one queue again, so that there are always some to count together."""
+        queue = deque(asked)
+        while queue:
+            some = [queue.popleft() for _ in range(min(TOGETHER, len(queue)))]
+            at = np.stack([np.append(q.vector / q.norm, 0.0) for q in some]) @ self.directions + np.arange(PROJECTIONS) * self.apart
+            low, span = self._windows(at, HALF * np.array([q.radius for q in some]))
+            whole = (span == self.numbers[-1]).all(axis=1)
+            for q, found, all_of_them in zip(some, self._colliding(low, span), whole.tolist(), strict=True):
+                new = np.setdiff1d(found[self.ids[found] != q.id], q.rows, assume_unique=True)
+                self.looked += len(new)
+                q.rows, q.scores = np.r_[q.rows, new], np.r_[q.scores, self.vectors[new] @ q.vector]
+                if all_of_them:
+                    continue
+                if len(q.rows) < k:
+                    q.radius *= FINE if len(q.rows) else COARSE
+                    queue.append(q)
+                    continue
+                # distance of the normed vectors; the k-th best must lie within the radius
+                kth = math.sqrt(max(0.0, 2 - 2 * np.partition(q.scores, len(q.scores) - k)[len(q.scores) - k] / (q.norm * self.largest)))
+                if kth > q.radius:
+                    q.radius = min(kth * (1 + 1e-9), q.radius * FINE)
+                    queue.append(q)
+
+    def _best(self, q: _Query, k: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = q.rows[np.lexsort((self.ids[q.rows], -q.scores))[: 2 * k]]
+        every = (self.vectors[rows] * q.vector).sum(1)  # the same sum for equal vectors, wherever they stand
+        best = np.lexsort((self.ids[rows], -every))[:k]
+        return self.ids[rows[best]], every[best]
 
 
 def _usable(vector: str) -> Column:

@@ -63,6 +63,20 @@ def test_few_vectors_are_verified():
     assert hits >= 0.95 * 20 * len(asked)
 
 
+def test_queries_need_few_passes(monkeypatch):
+    """Of 4,000 vectors without any structure, most queries are done with the first or the second window; so the work is a few counts of all vectors."""
+    counted = []
+    colliding = neighbours.Shard._colliding
+    monkeypatch.setattr(neighbours.Shard, "_colliding", lambda self, low, span: counted.append(len(low)) or colliding(self, low, span))
+    r = np.random.default_rng(6)
+    vectors = r.standard_normal((4_000, 64))
+    vectors /= np.sqrt((vectors**2).sum(1, keepdims=True))
+    shard = neighbours.Shard(np.arange(4_000), vectors, 1.0)
+    asked = list(range(0, 4_000, 5))
+    assert len(shard.answer(asked, [vectors[q] for q in asked], 20)) == 800
+    assert sum(counted) <= 2 * len(asked) and len(counted) < len(asked) / 4
+
+
 def test_equal_vectors_go_by_id(spark):
     one = [1.0] + [0.0] * 15
     rows = [(i, one) for i in range(100)] + [(200 + i, [0.0, 1.0] + [0.0] * 14) for i in range(30)]
